@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillfold.llm import pii, quality
+from quillfold.llm import pii, quality, urls
 
 
 def queries():
-    return {"op1_pii": pii.op1_pii, "op10_quality": quality.op10_quality}
+    return {"op1_pii": pii.op1_pii, "op2_urls": urls.op2_urls, "op10_quality": quality.op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,11 +31,12 @@ def collection(df: DataFrame, name: str, key: str, root: str = "app") -> DataFra
 
 def long_form(df: DataFrame, name: str, key: str) -> DataFrame:
     """(collection, record, field, value), a row for each value, the key's included; arrays have a row for each member."""
-    parts = []
-    for f in df.schema:
+
+    def part(f: T.StructField) -> Column:
         value = F.transform(F.col(f.name), lambda x: x.cast("string")) if isinstance(f.dataType, T.ArrayType) else F.array(F.col(f.name).cast("string"))
-        parts.append(F.transform(value, lambda v, n=f.name: F.struct(F.lit(n).alias("field"), v.alias("value"))))
-    rows = df.select(F.lit(name).alias("collection"), F.col(key).cast("string").alias("record"), F.explode(F.flatten(F.array(*parts))).alias("x"))
+        return F.transform(value, lambda v: F.struct(F.lit(f.name).alias("field"), v.alias("value")))
+
+    rows = df.select(F.lit(name).alias("collection"), F.col(key).cast("string").alias("record"), F.explode(F.flatten(F.array(*map(part, df.schema)))).alias("x"))
     return rows.select("collection", "record", "x.field", "x.value").where("value is not null")
 
 

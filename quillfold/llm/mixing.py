@@ -82,7 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not chosen:
         return Classifier({}, np.array([[30.0, 0.0, 0.0]]))
     keys = spark.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "label_id long, y int")  # max_labelled rows
-    sample = docs.join(F.broadcast(keys), docs[id_col] == keys["label_id"]).select("y", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(keys), texts["id"] == keys["label_id"]).select("y", "text")
     sample = written(map_batches(sample, _labelled_features, "y int, f array<binary>"))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())

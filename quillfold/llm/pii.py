@@ -367,8 +367,19 @@ class Decoder:
 _EDGE = " ,.;:!?\"'<>[]{}|*#$%&="
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in _EDGE:
+        a += 1
+    while a < b and text[b - 1] in _EDGE:
+        b -= 1
+    return a, b
+
+
 def field_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of tagged words as plausible (start, kind, end), without the marks at their edges."""
+    """Runs of tagged words as plausible (start, kind, end), without the marks at their edges.
+
+    A run that is no span as a whole, such as two numbers side by side, gives those of its words that are.
+    """
     out, words = [], [m.span() for m in _WORD.finditer(text)]
     i = 0
     while i < len(tags):
@@ -378,13 +389,10 @@ def field_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
         kind, j = (int(tags[i]) - 1) // 2, i + 1
         while j < len(tags) and tags[j] == 2 + 2 * kind:
             j += 1
-        a, b = words[i][0], words[j - 1][1]
-        while a < b and text[a] in _EDGE:
-            a += 1
-        while a < b and text[b - 1] in _EDGE:
-            b -= 1
-        if a < b and plausible(kind, text[a:b]):
-            out.append((a, kind, b))
+        whole = _trimmed(text, words[i][0], words[j - 1][1])
+        for a, b in [whole] if plausible(kind, text[slice(*whole)]) else [_trimmed(text, *w) for w in words[i:j]]:
+            if a < b and plausible(kind, text[a:b]):
+                out.append((a, kind, b))
         i = j
     return out
 

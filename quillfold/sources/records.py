@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillfold.operators.graph import settled
+
 #: The event log as it is stored.
 LOG_SCHEMA = T.StructType(
     [
@@ -105,7 +107,7 @@ def append(log: DataFrame, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         new = log
-    new = new.persist()
+    new = settled(new)  # it must not be read again after the log has it
     new.write.mode("append").partitionBy("op").parquet(path)
     return new
 

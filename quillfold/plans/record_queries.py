@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillfold.functions import similarity as S
-from quillfold.operators import analytics, dedup, edges, graph, records, segments, vectors
+from quillfold.operators import analytics, dedup, edges, formulas, graph, horizon, records, segments, sync, vectors
 from quillfold.plans.registry import Book, read
 from quillfold.sources.records import collection, long_form
 
@@ -344,4 +344,43 @@ def redacted(spark, d):
     return records.redact(read(spark, d, "customer"), {"c_acctbal": "redacted", "c_nationkey": "hidden", "c_mktsegment": "hidden"})
 
 
+@book(
+    """WITH r AS (SELECT p_partkey AS k, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, p_name FROM part WHERE p_partkey < 400),
+    l AS (SELECT k, 'p_brand' AS t, p_brand AS v FROM r UNION ALL SELECT k, 'p_type', p_type FROM r UNION ALL SELECT k, 'p_size', p_size FROM r UNION ALL SELECT k, 'p_name', p_name FROM r),
+    u AS (SELECT t, v FROM l GROUP BY 1, 2 HAVING count(*) <= 60), c AS (SELECT l.* FROM l JOIN u USING (t, v)),
+    p AS (SELECT DISTINCT x.k AS a, y.k AS b FROM c x JOIN c y ON x.t = y.t AND x.v = y.v AND x.k <> y.k),
+    s AS (SELECT a, b, CAST((x.p_brand = y.p_brand)::INT + (x.p_type = y.p_type)::INT + (x.p_size = y.p_size)::INT + (x.p_name = y.p_name)::INT AS INTEGER) AS shared FROM p JOIN r x ON x.k = a JOIN r y ON y.k = b)
+    SELECT a AS p_partkey, b AS other, shared, greatest(1, 4 - shared + 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s) WHERE n <= 10"""
+)
+def nearby_records(spark, d):
+    parts = read(spark, d, "part").where("p_partkey < 400")
+    return horizon.nearby(parts, ["p_brand", "p_type", "p_size", "p_name"], "p_partkey", 10, rare=60)
+
+
+@book("SELECT 'app.region.r' || n_regionkey || '.n' || n_nationkey AS target, 'app.region.r' || n_regionkey AS ancestor, 1 AS distance, count(*) OVER (PARTITION BY n_regionkey) AS children, count(*) OVER (PARTITION BY n_regionkey) - 1 AS siblings FROM nation")
+def ancestry(spark, d):
+    state = read(spark, d, "nation").select(F.concat(F.lit("app.region.r"), "n_regionkey", F.lit(".n"), "n_nationkey").alias("target"))
+    return horizon.ancestry(state).where("distance = 1")
+
+
+@book(
+    """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross, round(sqrt(abs(l_extendedprice * (1 - l_discount))), 6) AS root
+    FROM lineitem WHERE l_orderkey < 200"""
+)
+def formula_fields(spark, d):
+    rows = read(spark, d, "lineitem").where("l_orderkey < 200")
+    out = formulas.evaluate(rows, {"gross": "net * (1 + l_tax)", "net": "l_extendedprice * (1 - l_discount)", "root": "sqrt(abs(net))"})
+    return out.select("l_orderkey", "l_linenumber", F.round("net", 4).alias("net"), F.round("gross", 6).alias("gross"), F.round("root", 6).alias("root"))
+
+
+@book("SELECT c_nationkey, c_mktsegment, count(DISTINCT c_custkey % 11) AS peers FROM customer GROUP BY 1, 2 HAVING count(DISTINCT c_custkey % 11) >= 3")
+def quorum(spark, d):
+    return sync.quorum(read(spark, d, "customer").withColumn("peer", F.col("c_custkey") % 11), "c_nationkey", "c_mktsegment", "peer", 3)
+
+
+@book("SELECT l_partkey, count(DISTINCT l_suppkey) AS available FROM lineitem GROUP BY 1")
+def rarest_first(spark, d):
+    return sync.rarest_first(read(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+
+
 QUERIES, ORACLE = book.queries, book.sql

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillfold.functions import paths, values
 from quillfold.functions import similarity as S
-from quillfold.operators import analytics, dedup, edges, fold, graph, records, segments, worlds
+from quillfold.operators import analytics, dedup, edges, fold, formulas, graph, horizon, records, segments, sync, worlds
 from quillfold.sources import records as sources
 from quillfold.streaming import live
 
@@ -287,6 +287,42 @@ def test_streams(spark, tmp_path):
     assert sum(got) == 14
 
 
+def test_horizon(spark):
+    state = spark.createDataFrame([("app.t.r1", {"name": "x"}), ("app.t.r1.score", {"value": "5"}), ("app.t.r1.name", {"value": "y"}), ("app.t.r1.a.b", {"value": "z"}), ("app.t.r2", {"name": "w"})], "target string, value map<string,string>")
+    assert {r["target"]: r["value"] for r in horizon.figures(state).collect()} == {"app.t.r1": {"name": "x", "score": "5"}, "app.t.r2": {"name": "w"}}
+    rules = spark.createDataFrame([("app.t", "a"), ("app.t.r1", "b"), ("app", "c")], "target string, rule string")
+    assert {r["target"]: (r["rule"], r["scope"]) for r in horizon.governance(state.where("target like 'app.t.r_'"), rules).collect()} == {"app.t.r1": ("b", "direct"), "app.t.r2": ("a", "ancestor")}
+    assert {r["target"]: r["siblings"] for r in horizon.ancestry(state).where("distance = 1").collect()}["app.t.r1"] == 1
+    cases = spark.createDataFrame([(1, "theft", "ann"), (2, "theft", "bob"), (3, "fraud", "ann"), (4, "other", None)], "id int, type string, worker string")
+    assert {(r["id"], r["other"]): r["distance"] for r in horizon.nearby(cases, ["type", "worker"], "id").collect()} == {(1, 2): 2, (2, 1): 2, (1, 3): 2, (3, 1): 2}
+
+
+def test_formulas(spark):
+    rows = spark.createDataFrame([(1, 4.0, 1.0)], "id int, a double, b double")
+    got = formulas.evaluate(rows, {"d": "c + 1", "c": "sqrt(a)", "m": "a + nowhere"}).first()
+    assert got["c"] == 2 and got["d"] == 3 and got["m"] is None
+    assert formulas.is_volatile("a + NOW()") and not formulas.is_volatile("known + 1")
+    with pytest.raises(ValueError):
+        formulas.column("reflect('java.lang.System', 'exit')", ["a"])
+    with pytest.raises(formulas.CycleError):
+        formulas.evaluate(rows, {"a": "b + 1", "b": "a + 1"})
+    halves = formulas.fixed_point(rows, {"a": "b / 2 + 1", "b": "a / 2 + 1"})
+    assert halves.outcome == "converged" and abs(halves.records.first()["a"] - 2) < 1e-6
+    swap = formulas.fixed_point(rows, {"a": "b", "b": "a"})
+    assert swap.outcome == "oscillation" and swap.cycle_length == 2
+    assert formulas.fixed_point(rows, {"a": "a + 1"}, rounds=4).outcome == "bail"
+
+
+def test_replicas(spark):
+    e = spark.createDataFrame([(1, "r", 10), (2, "r", 10), (3, "r", 9), (4, "r", 12)], "seq long, replica_id string, wall_ms long")
+    assert [(r["hlc_wall"], r["hlc_logical"]) for r in sync.ticked(e).orderBy("seq").collect()] == [(10, 0), (10, 1), (10, 2), (12, 0)]
+    a, b = (spark.createDataFrame([(x,) for x in xs], "client_event_id string") for xs in ("abc", "bcd"))
+    we, they = sync.missing(a, b)
+    assert [r[0] for r in we.collect()] == ["d"] and [r[0] for r in they.collect()] == ["a"]
+    g = spark.createDataFrame([("m", "grant", "admin", 1), ("m", "revoke", None, 2), ("n", "revoke", None, 1), ("n", "grant", "user", 2)], "member string, action string, role string, seq long")
+    assert [tuple(r) for r in sync.grants(g).collect()] == [("n", "user")]
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 

@@ -10,7 +10,7 @@ import pytest
 
 from quillfold import catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("QUILLFOLD_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

@@ -75,10 +75,12 @@ def cadence(log: DataFrame, by: str, ts: str, order: list[str], now) -> DataFram
     dormant: none for 30 days; burst: more than three within an hour; periodic: over 60 % of the gaps within a fifth of
     their median; sparse: fewer than three events; else steady. The median is the element at half the sorted list.
     """
-    gaps = intervals(log, by, ts, order).groupBy(by).agg(F.sort_array(F.collect_list("gap")).alias("gaps"), F.count("*").alias("n"), F.max(ts).alias("last_ts"))
-    median = F.when(F.size("gaps") > 0, F.element_at("gaps", F.floor(F.size("gaps") / 2).cast("int") + 1))
-    near = F.size(F.filter("gaps", lambda g: F.abs(g - F.col("median")) <= 0.2 * F.col("median"))) / F.size("gaps")
-    rows = gaps.withColumn("median", median).withColumn("near", near).join(most_in_hour(log, by, ts), by)
+    spaced = intervals(log, by, ts, order)
+    sizes = spaced.groupBy(by).agg(F.count("*").alias("n"), F.count("gap").alias("n_gaps"), F.max(ts).alias("last_ts"))
+    ranked = spaced.where("gap is not null").select(by, "gap", F.row_number().over(Window.partitionBy(by).orderBy("gap")).alias("_r"))
+    middle = ranked.join(sizes.select(by, (F.floor(F.col("n_gaps") / 2) + 1).alias("_r")), [by, "_r"]).select(by, F.col("gap").alias("median"))
+    close = spaced.join(middle, by).groupBy(by).agg(F.max("median").alias("median"), F.count_if(F.abs(F.col("gap") - F.col("median")) <= 0.2 * F.col("median")).alias("_near"))
+    rows = sizes.join(close, by, "left").withColumn("near", F.col("_near") / F.col("n_gaps")).join(most_in_hour(log, by, ts), by)
     kind = (
         F.when(F.unix_seconds("last_ts") < F.unix_seconds(F.lit(now)) - 30 * 86400, "dormant")
         .when(F.col("most_in_hour") > 3, "burst")

@@ -157,14 +157,19 @@ def crossing_edges(edge_rows: DataFrame, prefix: str) -> DataFrame:
     return edge_rows.where(inside[0] != inside[1])
 
 
-def chain_hash(log: DataFrame, payload: list[str]) -> DataFrame:
-    """(target, hash, n): each target's events hashed in a chain, in order of seq.
+def chain_hash(log: DataFrame, payload: list[str], bits: int = 10, levels: int = 5) -> DataFrame:
+    """(target, hash, n): each target's history in one digest, which changes with any event and with their order.
 
-    A chain needs its target's events in order; only their 32-byte digests are gathered for it.
+    Digests of 2**bits neighbouring seqs are hashed together, and again, level by level, so that no task gathers more
+    than so many of a target's events.
     """
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in payload]), 256)
-    lists = log.select("target", F.struct("seq", digest.alias("d")).alias("e")).groupBy("target").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    return lists.select("target", F.aggregate("es", F.lit(""), lambda acc, e: F.sha2(F.concat(acc, e["d"]), 256)).alias("hash"), F.size("es").alias("n"))
+    rows = log.select("target", F.col("seq").alias("k"), digest.alias("d"), F.lit(1).cast("long").alias("n"))
+    for level in range(levels):
+        key = F.shiftright("k", bits) if level < levels - 1 else F.lit(0).cast("long")
+        together = rows.groupBy("target", key.alias("k")).agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("e"), F.sum("n").alias("n"))
+        rows = together.select("target", "k", F.sha2(F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["k"], x["d"])), "|"), 256).alias("d"), "n")
+    return rows.select("target", F.col("d").alias("hash"), "n")
 
 
 def store_fingerprint(hashes: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ SCHEMA = (
 class Bands:
     """Limits of the ratio. whole: (bytes below which it holds, lowest, highest), in order of length.
 
-    They were set on prose of four Latin-script languages that is labelled good, some two hundredths outside its
-    extremes; other scripts need their own.
+    They were set on prose of four Latin-script languages that is labelled good, outside its extremes by two hundredths
+    below and more above, as ratios fall within a band; other scripts need their own.
     """
 
     level: int = 3
@@ -42,13 +42,13 @@ class Bands:
         (128, 0.55, 1.30),
         (256, 0.48, 1.00),
         (512, 0.42, 0.82),
-        (1024, 0.42, 0.74),
-        (2048, 0.44, 0.64),
-        (4096, 0.435, 0.56),
-        (8192, 0.415, 0.51),
-        (16384, 0.395, 0.49),
-        (65536, 0.365, 0.47),
-        (float("inf"), 0.33, 0.47),
+        (1024, 0.42, 0.78),
+        (2048, 0.44, 0.68),
+        (4096, 0.435, 0.60),
+        (8192, 0.415, 0.55),
+        (16384, 0.395, 0.52),
+        (65536, 0.365, 0.50),
+        (float("inf"), 0.33, 0.50),
     )
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (0.455, 0.60)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillfold.operators.graph import settled
+
 #: Fixed shapes of ids: letters-digits, UUID, digits only, prefix_suffix.
 ID_PATTERNS = {"prefixed": r"^[A-Za-z]+-\d+$", "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "number": r"^\d+$", "record": r"^[A-Za-z]+_?[A-Za-z0-9]{6,}$"}
 
@@ -27,7 +29,7 @@ def references(long: DataFrame, ids: DataFrame) -> DataFrame:
 
     ids: (collection, field) as of id_fields.
     """
-    i = ids.select(F.col("collection").alias("_c"), F.col("field").alias("_f"))
+    i = settled(ids.select(F.col("collection").alias("_c"), F.col("field").alias("_f")))  # a row a collection, used twice
     known = long.join(F.broadcast(i), (F.col("collection") == F.col("_c")) & (F.col("field") == F.col("_f"))).select(F.col("collection").alias("target"), F.col("value").alias("_id")).distinct()
     others = long.join(F.broadcast(i), (F.col("collection") == F.col("_c")) & (F.col("field") == F.col("_f")), "left_anti")
     sizes = others.groupBy("collection", "field").agg(F.count("*").alias("values"))

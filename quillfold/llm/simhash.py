@@ -175,21 +175,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest doc_id, and of rows with that id one at most.
 
-    Fingerprints and ids are judged beside the texts; the texts are shuffled once at most, against the rows that go.
+    Fingerprints and ids are judged beside the texts, combined by fingerprint before anything is joined. The texts are
+    then shuffled once against the rows that go; by a hint at every size, since what goes grows with the corpus.
     """
     columns = [c for c in docs.columns if c in ("doc_id", "text", "lang", "source", "n_chars")]
     keyed = docs.select(*columns).withColumn("digest", F.xxhash64(*[F.col(c) for c in columns if c != "doc_id"]))
     rows = keyed.select("doc_id", "digest", "text")
     judge = functools.partial(_keyed_fingerprints, schema=pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("fp", pa.int64())]))
     prints = written(map_batches(rows, judge, "doc_id long, digest long, fp long"))
-    named = prints.join(classes(prints.select("doc_id", "fp")), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest"))
+    first = prints.groupBy("fp").agg(F.min(order).alias("w"))
     # grouped by root, as component_id is null where no row has an id
-    stay = named.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.digest").alias("digest")).distinct()
+    stay = first.join(classes(prints.select("doc_id", "fp")), "fp").groupBy("root").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.digest").alias("digest")).distinct()
     counts = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
     go = written(counts.join(stay.withColumn("stays", F.lit(True)), counts["doc_id"].eqNullSafe(stay["doc_id"]) & (counts["digest"] == stay["digest"]), "left").where("stays is null or n > 1").select(counts["doc_id"], counts["digest"], F.col("stays").isNotNull().alias("repeated")))
     lost = go.where("not repeated")
-    kept = keyed.join(lost, keyed["doc_id"].eqNullSafe(lost["doc_id"]) & (keyed["digest"] == lost["digest"]), "left_anti")
+    kept = keyed.join(lost.hint("merge"), keyed["doc_id"].eqNullSafe(lost["doc_id"]) & (keyed["digest"] == lost["digest"]), "left_anti")
     if not go.where("repeated").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "digest"])
     return kept.select(*columns)

@@ -176,7 +176,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     if not chosen:
         return {}
     ids = list({r["id"] for r in chosen})
-    found = docs.where(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).dropDuplicates(["lang", "id"]).collect()
+    found = docs.where(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).groupBy("lang", "id").agg(F.min("t").alias("t")).collect()
     texts, out = {(r["lang"], r["id"]): r["t"] for r in found}, {}
     for r in chosen:
         so_far = out.get(r["lang"], "")

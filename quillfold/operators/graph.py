@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +12,22 @@ from pyspark.sql import functions as F
 from quillfold.functions import paths
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="quillfold-")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed to spark.checkpoint.dir, which all executors share; a temporary folder only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillfold-"))
-    return df.checkpoint()
+    """df written once to spark.checkpoint.dir, which all executors share, and read again: its lineage ends there.
+
+    Unlike checkpoint(), which computes a plan twice, this computes it once. A temporary folder of its own is used only
+    where the setting is unset.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "forward") -> DataFrame:

@@ -97,7 +97,9 @@ class Lexicon:
 
 def lexicon(counts: DataFrame) -> Lexicon:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(HOT).collect()
+    # a threshold first, so that each task sends only its share of the HOT words to the driver
+    least = counts.agg(F.percentile_approx("c", 1 - HOT / total["v"], 100_000)).first()[0] if total["v"] > HOT else 0
+    top = counts.where(F.col("c") > least).orderBy(F.col("c").desc(), "word").limit(HOT).collect()
     hot = {bytes(r["word"]): i for i, r in enumerate(top)}
     own = frozenset(w for w, i in hot.items() if i < OWN)
     sizes = map_batches(counts, functools.partial(_class_sizes, own=own), "k int, tokens long, words long").groupBy("k").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()

@@ -192,7 +192,9 @@ def test_encoder_matches_the_tokenizer():
     t.encode_special_tokens = True
     e, rng = packing.Encoder(), np.random.default_rng(4)
     alphabet = "aé ß\n\t\r\x85\xa0　 \x1c１²½٣日本'sd'll!?#$.,0129"
-    texts = ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(0, 40))) for _ in range(1500)] + ["<|endoftext|> x"]
+    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} \n{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 13 == 0)]
+    texts += ["a" * 20_000, " " * 20_000 + "x", "a" + " " * 1_200_000 + "x", "ab" * 10_000]
+    texts += ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(0, 40))) for _ in range(1500)] + ["<|endoftext|> x"]
     assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 

@@ -95,3 +95,20 @@ def timestamp(c: Column) -> Column:
     number = c.cast("string").try_cast("double")
     millis = F.when(number < 1e12, number * 1000).otherwise(number)
     return F.coalesce(F.timestamp_millis(millis.cast("long")), F.try_to_timestamp(c.cast("string")))
+
+
+def code_points(c: Column) -> Column:
+    """Numbers of a text's characters."""
+    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.conv(F.hex(F.encode(x, "utf-32")), 16, 10).cast("long"))
+
+
+def fnv1a(c: Column) -> Column:
+    """32-bit FNV-1a over code points, as a nonnegative long."""
+    step = lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(code_points(c), F.lit(2166136261).cast("long"), step)
+
+
+def shard(c: Column, shards: int) -> Column:
+    """Which of so many shards a text belongs to: times 33 plus the code point, over 32 bits, from 5381 on."""
+    step = lambda h, x: (h * F.lit(33) + x).bitwiseAND(F.lit(0xFFFFFFFF))
+    return (F.aggregate(code_points(c), F.lit(5381).cast("long"), step) % shards).cast("int")

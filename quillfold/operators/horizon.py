@@ -5,6 +5,8 @@ state: (target, value MAP<STRING,STRING>); fields may also be child targets with
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,30 @@ def ancestry(state: DataFrame) -> DataFrame:
     return rows.withColumn("siblings", F.when(F.col("distance") == 1, F.col("children") - 1))
 
 
-def nearby(records: DataFrame, traits: list[str], key: str, top: int = 10, rare: int = 200) -> DataFrame:
+def nearby(records: DataFrame, traits: list[str], key: str, top: int = 10) -> DataFrame:
     """(key, other, shared, distance): for each record the `top` others that share most traits; ties go to smaller keys.
 
+    All records are compared, however common their traits, but without pairs: the records that have the same values of a
+    set of traits are kept as the top + 1 smallest keys, for every set. Whoever is left out of the list of all traits that
+    two records share has `top` records before it, so the lists hold every answer. A record makes 2^traits - 1 rows, so
+    traits are few. Null is no trait, records without key are nobody's. distance = max(1, traits - shared + 1).
+    """
+    sets = [[t for i, t in enumerate(traits) if n >> i & 1] for n in range(1, 1 << len(traits))]
+    member = lambda n, s: F.struct(F.lit(n).alias("n"), F.lit(len(s)).alias("shared"), F.struct(*(F.col(t).cast("string").alias(f"v{i}") if t in s else F.lit(None).cast("string").alias(f"v{i}") for i, t in enumerate(traits))).alias("v"), reduce(lambda x, y: x & y, (F.col(t).isNotNull() for t in s)).alias("whole"))
+    entries = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.explode(F.array(*(member(n, s) for n, s in enumerate(sets)))).alias("e")).where("e.whole")
+    entries = entries.select("_k", "e.n", "e.shared", F.to_json("e.v").alias("v"))
+    first = entries.withColumn("_n", F.dense_rank().over(Window.partitionBy("n", "v").orderBy("_k"))).where(F.col("_n") <= top + 1)
+    lists = first.groupBy("n", "v").agg(F.collect_set("_k").alias("others"))
+    rows = entries.join(lists, ["n", "v"]).select("_k", "shared", F.explode("others").alias("other")).where("_k <> other")
+    rows = rows.groupBy("_k", "other").agg(F.max("shared").alias("shared"))
+    w = Window.partitionBy("_k").orderBy(F.desc("shared"), "other")
+    distance = F.greatest(F.lit(1), F.lit(len(traits)) - F.col("shared") + 1)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).select(F.col("_k").alias(key), "other", "shared", distance.alias("distance"))
+
+
+def nearby_rare(records: DataFrame, traits: list[str], key: str, top: int = 10, rare: int = 200) -> DataFrame:
+    """Rows of `nearby`, of the pairs that share a trait which at most `rare` records have; other pairs are left out.
+
     A trait that more than `rare` records have says little and would pair them all: it doesn't make a pair, but counts
     for pairs that a rarer trait makes. distance = max(1, traits - shared + 1).
     """

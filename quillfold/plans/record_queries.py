@@ -353,7 +353,16 @@ def redacted(spark, d):
     SELECT a AS p_partkey, b AS other, shared, greatest(1, 4 - shared + 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s) WHERE n <= 10"""
 )
 def nearby_records(spark, d):
-    return horizon.nearby(read(spark, d, "part"), ["p_brand", "p_type", "p_size", "p_name"], "p_partkey", 10, rare=60)
+    return horizon.nearby_rare(read(spark, d, "part"), ["p_brand", "p_type", "p_size", "p_name"], "p_partkey", 10, rare=60)
+
+
+@book(
+    """WITH s AS (SELECT x.p_partkey AS a, y.p_partkey AS b, CAST((x.p_brand = y.p_brand)::INT + (x.p_type = y.p_type)::INT + (x.p_size = y.p_size)::INT + (x.p_name = y.p_name)::INT AS INTEGER) AS shared
+    FROM part x JOIN part y ON x.p_partkey <> y.p_partkey)
+    SELECT a AS p_partkey, b AS other, shared, greatest(1, 4 - shared + 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s WHERE shared > 0) WHERE n <= 10"""
+)
+def nearby_records_all(spark, d):
+    return horizon.nearby(read(spark, d, "part"), ["p_brand", "p_type", "p_size", "p_name"], "p_partkey", 10)
 
 
 @book("SELECT 'app.region.r' || n_regionkey || '.n' || n_nationkey AS target, 'app.region.r' || n_regionkey AS ancestor, 1 AS distance, count(*) OVER (PARTITION BY n_regionkey) AS children, count(*) OVER (PARTITION BY n_regionkey) - 1 AS siblings FROM nation")

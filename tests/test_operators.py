@@ -183,6 +183,16 @@ def test_matching(spark):
     assert dedup.canopies(people, "name").where("id = 4").count() >= 1
 
 
+def test_nearby_compares_records_of_common_traits(spark):
+    rows = [(i, f"t{i % 2}", f"w{i % 7}" if i % 5 else None, i % 3) for i in range(450)]
+    want = {}
+    for a in rows:
+        shared = sorted((-sum(x is not None and x == y for x, y in zip(a[1:], b[1:], strict=True)), b[0]) for b in rows if b[0] != a[0])
+        want |= {(a[0], b): (-n, max(1, 3 + n + 1)) for n, b in shared[:10] if n}
+    got = horizon.nearby(spark.createDataFrame(rows, "id int, type string, worker string, size int"), ["type", "worker", "size"], "id").collect()
+    assert len(got) == 4500 and {(r["id"], r["other"]): (r["shared"], r["distance"]) for r in got} == want
+
+
 def test_edge_discovery(spark):
     cases = spark.createDataFrame([("CASE-001", "ATT-001", ["ATT-001", "ATT-002"]), ("CASE-002", "ATT-009", ["ATT-001", "ATT-002", "ATT-003"])], "id string, lead string, team array<string>")
     people = spark.createDataFrame([(f"ATT-00{i}", f"n{i % 2}") for i in range(1, 5)], "id string, name string")

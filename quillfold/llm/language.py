@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from quillfold.llm.common import map_batches, table
 
-#: The labelled sample: so many texts of each language, so many characters of each text and in all.
-SAMPLE_TEXTS, SAMPLE_CHARS, TRAIN_CHARS = 48, 2000, 40_000
-MAX_LANGUAGES, MAX_SYMBOLS = 64, 120
-PIECE = 1024
+#: The labelled sample: so many texts of each language, so many characters in all.
+SAMPLE_TEXTS, TRAIN_CHARS = 48, 40_000
+#: What a driver and workers hold, at 2 MB a language at most. More languages are an error; none is left out.
+MAX_LANGUAGES = 256
+PIECE, STRETCHES = 1024, 20
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -40,7 +42,7 @@ def normal(text: str) -> str:
 class Automaton:
     """Suffix automaton: from state 0, exactly the substrings of the text can be walked."""
 
-    def __init__(self, text: bytes):
+    def __init__(self, text: Iterable[int]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, last = [-1], [0], 0
         for c in text:
@@ -70,75 +72,117 @@ class Automaton:
 
 @dataclass
 class Model:
-    """walk[state * width + symbol] is the next state, or its complement where a new phrase starts.
+    """Every character of the labelled texts is a symbol; symbol 0 is any character that no labelled text has.
 
-    Symbol 0 is any character that no labelled text has, the last one is padding, on which a state stays. Of each
-    language, the state behind its automaton's is the one between phrases.
+    The transitions of all automata share one double array: that of `state` on `symbol` lies in slot base[state] + symbol
+    and leads to goal[slot] if check[slot] == state. Else a new phrase starts, in state root[language, symbol]. Of each
+    language, the state behind its automaton's, in starts, is the one between phrases; it has no transitions.
     """
 
     languages: list[str]
     alphabet: list[int]
-    walk: np.ndarray
+    base: np.ndarray
+    check: np.ndarray
+    goal: np.ndarray
+    root: np.ndarray
     starts: np.ndarray
     bits: np.ndarray
 
     def symbols(self) -> np.ndarray:
-        out = np.zeros(0x110000, np.uint8)
+        out = np.zeros(0x110000, np.int32)
         out[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         return out
 
 
+def _slots(nodes: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base, check and goal of one automaton: the states of most transitions take the first slots that are free."""
+    base = np.zeros(len(nodes) + 1, np.int32)
+    order = sorted((i for i in range(1, len(nodes)) if len(nodes[i]) > 1), key=lambda i: -len(nodes[i]))
+    single = [i for i in range(1, len(nodes)) if len(nodes[i]) == 1]
+    most = max((c for out in nodes for c in out), default=0)
+    used, low, tries = np.zeros(4 * sum(map(len, nodes)) + 2 * most + 1024, bool), 0, np.arange(256)[:, None]
+    for i in order:
+        on, at = np.fromiter(nodes[i], np.int64, len(nodes[i])), low
+        while True:
+            if at + 256 + most >= len(used):
+                used = np.concatenate([used, np.zeros(len(used), bool)])
+            free = np.flatnonzero(~used[at + tries + on].any(1))
+            if len(free):
+                break
+            at += 256
+        base[i] = at + free[0]
+        used[base[i] + on] = True
+        if used[low + most : low + most + 256].mean() > 0.9:
+            low += 256
+    on = np.array([next(iter(nodes[i])) for i in single], np.int64)
+    free = np.flatnonzero(~used[most:])[: len(single)] + most
+    if len(free) < len(single):
+        free = np.concatenate([free, len(used) + np.arange(len(single) - len(free))])
+    base[single] = free - on
+    states = np.repeat(np.arange(len(nodes)), [0, *map(len, nodes[1:])])
+    on = np.fromiter((c for out in nodes[1:] for c in out), np.int64, len(states))
+    to = np.fromiter((s for out in nodes[1:] for s in out.values()), np.int32, len(states))
+    slots = base[states] + on
+    check, goal = np.full(int(slots.max(initial=0)) + 1, -1, np.int32), np.zeros(int(slots.max(initial=0)) + 1, np.int32)
+    check[slots], goal[slots] = states, to
+    return base, check, goal
+
+
 def learn(labelled: dict[str, str]) -> Model:
     """labelled: normalised text by language."""
     languages = sorted(k for k, v in labelled.items() if v)
-    found: dict[str, int] = {}
-    for k in languages:
-        for c in labelled[k]:
-            found[c] = found.get(c, 0) + 1
-    alphabet = sorted(map(ord, sorted(found, key=lambda c: (-found[c], c))[:MAX_SYMBOLS]))
+    alphabet = sorted({ord(c) for k in languages for c in labelled[k]})
     number = {c: i + 1 for i, c in enumerate(alphabet)}
-    width, tables, starts, offset = len(alphabet) + 2, [], [], 0
-    for k in languages:
-        nodes = Automaton(bytes(number.get(ord(c), 0) for c in labelled[k])).next
-        dead = len(nodes)
-        anew = np.full(width, ~(offset + dead), np.int32)
-        for c, s in nodes[0].items():
-            anew[c] = ~(offset + s)
-        anew[0] = ~(offset + dead)
-        walk = np.repeat(anew[None], dead + 1, 0)
-        for i, out in enumerate(nodes):
-            for c, s in out.items():
-                if c:
-                    walk[i, c] = offset + s
-        walk[:, -1] = np.arange(offset, offset + dead + 1)
-        tables.append(walk)
-        starts.append(offset + dead)
-        offset += dead + 1
-    walk = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-    return Model(languages, alphabet, walk, np.array(starts, np.int32), np.array([math.log2(len(labelled[k]) + 1) for k in languages]))
+    bases, checks, goals, starts, offset, slot = [], [], [], [], 0, 0
+    root = np.zeros((len(languages), len(alphabet) + 1), np.int32)
+    for n, k in enumerate(languages):
+        nodes = Automaton([number[ord(c)] for c in labelled[k]]).next
+        base, check, goal = _slots(nodes)
+        bases.append(base + slot)
+        checks.append(np.where(check < 0, -1, check + offset))
+        goals.append(goal + offset)
+        starts.append(offset + len(nodes))
+        root[n] = starts[-1]
+        root[n, list(nodes[0])] = np.fromiter(nodes[0].values(), np.int32) + offset
+        offset += len(nodes) + 1
+        slot += len(check)
+    end = len(alphabet) + 1  # slots that states of the last language may look at
+    empty = [np.zeros(0, np.int32)]
+    return Model(
+        languages,
+        alphabet,
+        np.concatenate(bases or empty).astype(np.int32),
+        np.concatenate([*checks, np.full(end, -1)]).astype(np.int32),
+        np.concatenate([*goals, np.zeros(end)]).astype(np.int32),
+        root,
+        np.array(starts, np.int32),
+        np.array([math.log2(len(labelled[k]) + 1) for k in languages]),
+    )
 
 
 def phrases(texts: list[str], model: Model, symbols: np.ndarray) -> np.ndarray:
     """[text, language] numbers of phrases of normalised texts."""
-    width = len(model.alphabet) + 2
     out = np.zeros((len(texts), len(model.languages)), np.int64)
+    if not model.languages:
+        return out
     pieces = [(i, t[a : a + PIECE]) for i, t in enumerate(texts) for a in range(0, len(t), PIECE)]
     pieces.sort(key=lambda x: -len(x[1]))
     for at in range(0, len(pieces), 4096):
         group = pieces[at : at + 4096]
         sizes = np.array([len(t) for _, t in group])
-        chars = np.full((len(group), int(sizes[0])), width - 1, np.int32)
-        chars[np.arange(chars.shape[1]) < sizes[:, None]] = symbols[np.frombuffer("".join(t for _, t in group).encode("utf-32-le"), np.uint32)]
+        chars = np.zeros((len(group), int(sizes[0])), np.int32)
+        chars[np.arange(chars.shape[1]) < sizes[:, None]] = symbols[np.frombuffer("".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), np.uint32)]
         chars = np.ascontiguousarray(chars.T)
         state = np.repeat(model.starts[:, None], len(group), 1)
         count = np.zeros(state.shape, np.int32)
         live = np.searchsorted(-sizes, -np.arange(1, chars.shape[0] + 1), side="right")  # pieces that reach so far
         for j in range(chars.shape[0]):
             n = live[j]
-            got = model.walk[state[:, :n] * width + chars[j, :n]]
-            new = got >> 31
-            count[:, :n] -= new
-            state[:, :n] = got ^ new
+            was = state[:, :n]
+            slots = model.base.take(was) + chars[j, :n]
+            new = model.check.take(slots) != was
+            count[:, :n] += new
+            state[:, :n] = np.where(new, model.root.take(chars[j, :n], axis=1), model.goal.take(slots))
         np.add.at(out, np.array([i for i, _ in group]), count.T)
     return out
 
@@ -169,19 +213,35 @@ def _predict(batches, shared):
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learns) -> dict[str, str]:
-    """The first SAMPLE_TEXTS texts of each language, in order of a hash of their ids: a bounded sample."""
-    rows = docs.where(learns & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS).orderBy("lang", "n").limit(MAX_LANGUAGES * SAMPLE_TEXTS).collect()
-    if not chosen:
+    """Texts of each language, a bounded sample: of the first SAMPLE_TEXTS in order of a hash of their ids those that fit
+    into TRAIN_CHARS, whole. Where each is longer than that, STRETCHES from all over the first one are the sample.
+    """
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = known.where(learns).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.length(text_col).alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "size")
+    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS).limit(MAX_LANGUAGES * SAMPLE_TEXTS + 1).collect()
+    if len(chosen) > MAX_LANGUAGES * SAMPLE_TEXTS or len({r["lang"] for r in chosen}) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    left, taken = {}, []
+    chosen.sort(key=lambda r: (r["lang"], r["n"]))
+    for r in chosen:
+        if 0 < r["size"] <= (room := left.get(r["lang"], TRAIN_CHARS)):
+            taken.append(r)
+            left[r["lang"]] = room - r["size"]
+    for r in chosen:
+        if r["size"] and r["lang"] not in left:
+            taken.append(r)
+            left[r["lang"]] = 0
+    if not taken:
         return {}
-    ids = list({r["id"] for r in chosen})
-    found = docs.where(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).groupBy("lang", "id").agg(F.min("t").alias("t")).collect()
+    text, size = F.col(text_col), F.length(text_col)
+    stretch = lambda i: F.substring(text, (i * (size / STRETCHES) + 1).cast("int"), F.lit(TRAIN_CHARS // STRETCHES))
+    cut = F.when(size <= TRAIN_CHARS, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), stretch), " "))
+    found = known.where(F.col(id_col).isin(list({r["id"] for r in taken}))).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), cut.alias("t")).groupBy("lang", "id").agg(F.min("t").alias("t")).collect()
     texts, out = {(r["lang"], r["id"]): r["t"] for r in found}, {}
-    for r in chosen:
-        so_far = out.get(r["lang"], "")
-        if len(so_far) < TRAIN_CHARS and (t := normal(texts.get((r["lang"], r["id"]), ""))):
-            out[r["lang"]] = f"{so_far} {t}".strip()[:TRAIN_CHARS]
+    for r in taken:
+        if t := normal(texts.get((r["lang"], r["id"]), "")):
+            out[r["lang"]] = f"{out.get(r['lang'], '')} {t}".strip()
     return out
 
 
@@ -189,7 +249,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Learns from the rows outside of fold 0 and predicts every row's language."""
     fold = F.crc32(F.col(id_col).cast("string")) % folds
     model = learn(labelled_sample(docs, id_col, text_col, lang_col, fold != 0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: some 10 MB a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: 2 MB a language at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return map_batches(rows, functools.partial(_predict, shared=shared), SCHEMA)
 

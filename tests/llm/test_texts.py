@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from quillfold.llm import extract, language, pii, quality, urls
 
@@ -206,6 +207,34 @@ def test_phrases_are_greedy():
     assert got.tolist() == [[brute(t, labelled[k]) for k in model.languages] for t in texts]
 
 
+def test_phrases_know_all_characters_of_all_languages():
+    rng = np.random.default_rng(3)
+    alphabets = {f"l{n}": [chr(0x4E00 + 900 * n + i) for i in range(400)] for n in range(3)}
+    make = lambda k, n: "".join(alphabets[k][i] for i in rng.integers(0, 400, n))
+    words = {k: [make(k, 3) for _ in range(60)] for k in alphabets}
+    texts = {k: " ".join(w[i] for i in rng.integers(0, 60, 300)) for k, w in words.items()}
+    model = language.learn({k: t[:900] for k, t in texts.items()})
+    counts = language.phrases([t[900:] for t in texts.values()], model, model.symbols())
+    assert (counts * model.bits).argmin(1).tolist() == [0, 1, 2]
+    for (k, t), row in zip(texts.items(), counts, strict=True):
+        others = [c for name, c in zip(model.languages, row, strict=True) if name != k]
+        assert min(others) >= 295 * 3 // 4 and row[model.languages.index(k)] < min(others) / 2
+
+
+def test_language_sample_is_whole(spark):
+    words = {n: [f"{chr(97 + n % 26)}{chr(97 + n // 26)}{chr(97 + i)}" for i in range(26)] for n in range(70)}
+    rows = [(100 * n + i, " ".join(words[n][(i + j) % 26] for j in range(20)), f"x{n:02d}") for n in range(70) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got) and len(got) == 420
+    long = spark.createDataFrame([(1, "ab " * 3000 + "tail", "en"), (2, "cd " * 30000 + "ef " * 30000, "de")], docs.schema)
+    sample = language.labelled_sample(long, "doc_id", "text", "lang", F.lit(True))
+    assert sample["en"].endswith(" tail") and "cd cd" in sample["de"] and sample["de"].count("ef ef") > 1000
+    many = spark.range(300).selectExpr("id AS doc_id", "'some words' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="256 languages"):
+        language.labelled_sample(many, "doc_id", "text", "lang", F.lit(True))
+
+
 def test_language_rows_and_accuracy(spark, awkward, nothing, tables):
     got = {r["doc_id"]: r for r in language.identify(awkward).collect()}
     assert got[2]["lang_pred"] == got[3]["lang_pred"] == got[6]["lang_pred"] == "und" and got[2]["score"] == 0

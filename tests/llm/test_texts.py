@@ -1,5 +1,6 @@
 """Operators that judge each text alone, against brute force."""
 
+import glob
 import hashlib
 import re
 from collections import Counter
@@ -49,6 +50,23 @@ def test_compression_verdicts():
     assert not quality.measure(again, bands, press)[6]
 
 
+def test_quality_keeps_real_texts(spark):
+    texts = [open(f, encoding="utf-8").read() for f in sorted(glob.glob("/usr/share/common-licenses/*"))]
+    for f in sorted(glob.glob("/usr/share/gnupg/help.*.txt")):
+        lines = open(f, encoding="utf-8", errors="ignore").read().split("\n")
+        texts.append("\n".join(x for x in lines if x.strip() and x[0] not in ".#"))
+    if len(texts) < 10:
+        pytest.skip("no texts on this machine")
+    texts += [" ".join(t.split()) for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    judged = {r["doc_id"]: r for r in quality.compression_bands(docs).where("not base_failed").collect()}
+    kept = {r["doc_id"] for r in quality.quality_stage(spark, docs, "").collect()}
+    assert len(judged) > 10 and kept == set(judged)
+    few = " ".join(np.random.default_rng(1).choice("alpha beta gamma delta epsilon zeta eta theta".split(), 900)).encode()
+    got = quality.measure(few, quality.Bands(), zstandard.ZstdCompressor(level=3))
+    assert not got[5] and not got[6]  # eight words over and over pass the base rules, not the bands
+
+
 def test_quality_empty_and_stage(spark, awkward, nothing):
     assert quality.compression_bands(nothing).count() == 0
     kept = quality.quality_stage(spark, awkward, "")

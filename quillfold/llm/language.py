@@ -3,7 +3,7 @@ labelled text, and the language that needs the fewest, normalised by the size of
 
 Longest matches come from a suffix automaton of each language's labelled text. The automata are tables of numbers, and
 numpy walks them for many pieces of text at once. Texts are lower-cased, runs of other characters than letters are one
-space. Whole texts are parsed; parsing starts anew every PIECE characters, which adds the same for each language.
+space. Texts are parsed whole: pieces of PIECE characters are walked at once and then joined, see blocks.
 
 A text that is null or has no letter is `und` with score 0. The score is 1 - cost of the best / cost of the second, 1 if
 only one language was learned, and ties go to the first language in alphabetical order. Rows without doc_id are not
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillfold.llm.blocks import Blocks, settle
 from quillfold.llm.common import map_batches, table
 
 #: The labelled sample: so many texts of each language, so many characters in all.
@@ -31,6 +32,8 @@ SAMPLE_TEXTS, TRAIN_CHARS = 48, 40_000
 #: What a driver and workers hold, at 2 MB a language at most. More languages are an error; none is left out.
 MAX_LANGUAGES = 256
 PIECE, STRETCHES = 1024, 20
+#: Pieces times languages that are walked at once.
+CELLS = 16_384
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -161,32 +164,63 @@ def learn(labelled: dict[str, str]) -> Model:
 
 
 def phrases(texts: list[str], model: Model, symbols: np.ndarray) -> np.ndarray:
-    """[text, language] numbers of phrases of normalised texts."""
+    """[text, language] numbers of phrases of whole normalised texts."""
     out = np.zeros((len(texts), len(model.languages)), np.int64)
     if not model.languages:
         return out
-    pieces = [(i, t[a : a + PIECE]) for i, t in enumerate(texts) for a in range(0, len(t), PIECE)]
-    pieces.sort(key=lambda x: -len(x[1]))
-    for at in range(0, len(pieces), 4096):
-        group = pieces[at : at + 4096]
-        sizes = np.array([len(t) for _, t in group])
-        chars = np.zeros((len(group), int(sizes[0])), np.int32)
-        chars[np.arange(chars.shape[1]) < sizes[:, None]] = symbols[np.frombuffer("".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        chars = np.ascontiguousarray(chars.T)
-        state = np.repeat(model.starts[:, None], len(group), 1)
-        count = np.zeros(state.shape, np.int32)
-        live = np.searchsorted(-sizes, -np.arange(1, chars.shape[0] + 1), side="right")  # pieces that reach so far
-        for j in range(chars.shape[0]):
-            n = live[j]
-            was = state[:, :n]
-            slots = model.base.take(was) + chars[j, :n]
-            new = model.check.take(slots) != was
-            count[:, :n] += new
-            state[:, :n] = np.where(new, model.root.take(chars[j, :n], axis=1), model.goal.take(slots))
-        np.add.at(out, np.array([i for i, _ in group]), count.T)
+    blocks = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), PIECE)]
+    group, carried = max(1, CELLS // len(model.languages)), None
+    for at in range(0, len(blocks), group):
+        part = blocks[at : at + group]
+        count, carried = _parse([texts[i][a : a + PIECE] for i, a in part], np.array([a == 0 for _, a in part]), carried, model, symbols)
+        np.add.at(out, np.array([i for i, _ in part]), count.T)
     return out
 
 
+def _parse(pieces: list[str], begins: np.ndarray, carried: np.ndarray | None, model: Model, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[language, piece] numbers of phrases that begin in each piece, and each language's state at the last one's end.
+
+    A piece that doesn't begin its text goes on in the state that the piece before it, or the group before, ended in.
+    """
+    laid = Blocks(np.array(list(map(len, pieces)), np.int64), PIECE)
+    chars = laid.laid(symbols[np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)])
+    state = np.repeat(model.starts[:, None], len(pieces), 1)
+    count, opened = np.zeros(state.shape, np.int64), np.zeros((len(model.languages), len(chars)), bool)
+    for t, n in enumerate(laid.live.tolist()):
+        now, was = slice(laid.begin[t], laid.begin[t] + n), state[:, :n]
+        slots = model.base.take(was) + chars[now]
+        opened[:, now] = new = model.check.take(slots) != was
+        count[:, :n] += new
+        state[:, :n] = np.where(new, model.root.take(chars[now], axis=1), model.goal.take(slots))
+
+    def walk(blocks: np.ndarray) -> np.ndarray:
+        """Until both parsings open a phrase at the same character: from there on they are the same."""
+        changed = np.zeros(len(blocks), bool)
+        before = np.where(blocks > 0, laid.rank[blocks - 1], 0)
+        cur = state[:, before].copy()
+        if carried is not None and blocks[0] == 0:
+            cur[:, 0] = carried
+        lang, of = (x.ravel() for x in np.indices(cur.shape))
+        cur, rank, t = cur.ravel(), laid.rank[blocks[of]], 0
+        while len(cur):
+            at = laid.begin[t] + rank
+            slots = model.base[cur] + chars[at]
+            new, had = model.check[slots] != cur, opened[lang, at]
+            cur = np.where(new, model.root[lang, chars[at]], model.goal[slots])
+            count[lang, rank] += new.astype(np.int64) - had
+            opened[lang, at] = new
+            end = laid.size[blocks[of]] == t + 1
+            other = end & (cur != state[lang, rank])
+            state[lang[other], rank[other]] = cur[other]
+            changed[of[other]] = True
+            go = ~(end | new & had)
+            cur, lang, of, rank, t = cur[go], lang[go], of[go], rank[go], t + 1
+        return changed
+
+    settle(begins, walk)
+    return count[:, laid.rank], state[:, laid.rank[-1]].copy()
+
+
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_phrases", pa.int64())])
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_phrases long"
 

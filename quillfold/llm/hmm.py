@@ -7,9 +7,8 @@ share the last part. The likelihood of a text is that of its classes, by the sca
 text, times those of its words within their classes.
 
 Counts of words come from a shuffle over all training texts. The HOT most frequent words, a bounded table, are
-broadcast; what is left of each text, its rarer words, meets its counts in a join. In training, texts are read in
-stretches of at most STRETCH tokens that each begin in a state of their own distribution; every token of every training
-text is used in every round.
+broadcast; what is left of each text, its rarer words, meets its counts in a join. Training and scoring read whole texts,
+and every round of training all training texts.
 
 Rows whose crc32 of the id leaves remainder HELD of FOLDS are held out; rows without id are scored only. Null texts are
 empty: one token. Repeated rows count as often as they stand there, and get equal results. Without training texts all
@@ -29,12 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfold.llm.blocks import Blocks, settle, settle_back
 from quillfold.llm.common import map_batches, table, written
 
 FOLDS, HELD = 7, 2
 HOT = 131_072
-OWN, SHARED = 768, 256
-STATES, ROUNDS, STRETCH = 6, 8, 192
+OWN, SHARED = 4096, 256
+#: Of training: at most ROUNDS, until a token's log likelihood gains less than GAIN.
+STATES, ROUNDS, GAIN = 6, 8, 1e-3
+#: Words of a text that are walked one after another; where two walks of a block differ by less than SAME they are one.
+BLOCK, SAME = 192, 1e-6
 END = b""  # no word is empty
 FLUSH = 400_000
 
@@ -161,7 +164,6 @@ def _code(batches, shared):
 @dataclass
 class Hmm:
     first: np.ndarray  # [state]
-    resume: np.ndarray  # [state], where a stretch after the first begins in training
     move: np.ndarray  # [state, state]
     emit: np.ndarray  # [class, state]
 
@@ -170,108 +172,127 @@ def initial(unigram: np.ndarray, states: int = STATES, seed: int = 7) -> Hmm:
     rng = np.random.default_rng(seed)
     emit = unigram[:, None] * np.exp(rng.normal(0, 0.7, (len(unigram), states)))
     move = rng.dirichlet(np.full(states, 4.0), states) * 0.5 + np.eye(states) * 0.5
-    even = np.full(states, 1 / states)
-    return Hmm(even, even.copy(), move, emit / emit.sum(0))
-
-
-class Ragged:
-    """Sequences of classes laid out step by step: at each step those that are long enough, longest first."""
-
-    def __init__(self, sequences: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sequences], np.int64)
-        self.order = np.argsort(-sizes, kind="stable")
-        self.live = np.searchsorted(-sizes[self.order], -np.arange(1, sizes.max(initial=0) + 1), side="right")
-        self.begin = np.concatenate([[0], np.cumsum(self.live)])
-        flat = np.concatenate([sequences[i] for i in self.order]) if len(sequences) else np.zeros(0, np.uint16)
-        step = np.concatenate([np.arange(sizes[i]) for i in self.order]) if len(sequences) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(sequences)), sizes[self.order])
-        self.codes = np.empty(len(flat), np.int64)
-        self.codes[self.begin[step] + row] = flat
+    return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
 def forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each whole sequence of classes: the scaled forward recursion."""
-    r, out = Ragged(sequences), np.zeros(len(sequences))
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    r, out = Blocks(sizes, int(sizes.max(initial=1))), np.zeros(len(sequences))
+    codes = r.laid(np.concatenate([*sequences, np.zeros(0, np.uint16)]))
     alpha = np.repeat(model.first[None], len(sequences), 0)
     for t, n in enumerate(r.live.tolist()):
-        alpha = (alpha if t == 0 else alpha[:n] @ model.move) * model.emit[r.codes[r.begin[t] : r.begin[t] + n]]
+        alpha = (alpha if t == 0 else alpha[:n] @ model.move) * model.emit[codes[r.begin[t] : r.begin[t] + n]]
         scale = alpha.sum(1)
         out[:n] += np.log10(scale)
         alpha /= scale[:, None]
-    result = np.empty(len(sequences))
-    result[r.order] = out
-    return result
-
-
-def expected(model: Hmm, sequences: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of sequences, as one row of numbers; begins: whether each is the start of its text."""
-    r, k, c = Ragged(sequences), len(model.first), len(model.emit)
-    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    alpha, scales = np.empty((len(r.codes), k), np.float32), np.empty(len(r.codes), np.float32)
-    begins = begins[r.order]
-    start = np.where(begins[:, None], model.first, model.resume).astype(np.float32)
+    return out[r.rank]
+
+
+def expected(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
+    """Baum-Welch counts of whole sequences as one row of numbers: of first states, moves and classes, and the log
+    likelihood. Blocks of sequences are walked at once, forward and back, and joined."""
+    k, c = len(model.first), len(model.emit)
+    flat = np.concatenate([*sequences, np.zeros(0, np.uint16)])
+    r = Blocks(np.array([len(s) for s in sequences], np.int64), BLOCK)
+    codes, move = r.laid(flat), model.move.astype(np.float32)
+    seen = model.emit.astype(np.float32)[codes]
+    alpha, scales, beta = np.empty((len(flat), k), np.float32), np.empty(len(flat), np.float32), np.empty((len(flat), k), np.float32)
+
+    def scaled(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = a.sum(1)
+        return a / total[:, None], total
+
+    cur = np.where(r.begins[r.order][:, None], model.first, model.move.mean(0)).astype(np.float32)
     for t, n in enumerate(r.live.tolist()):
         at = slice(r.begin[t], r.begin[t] + n)
-        a = (start if t == 0 else alpha[r.begin[t - 1] : r.begin[t - 1] + n] @ move) * emit[r.codes[at]]
-        scales[at] = a.sum(1)
-        alpha[at] = a / scales[at][:, None]
-    gamma, moves = np.empty_like(alpha), np.zeros((k, k))
-    ahead = np.ones((0, k), np.float32)  # emission times backward variable of the next step
+        cur, scales[at] = scaled((cur if t == 0 else cur[:n] @ move) * seen[at])
+        alpha[at] = cur
+
+    def ahead(blocks: np.ndarray) -> np.ndarray:
+        changed, cur, of, t = np.zeros(len(blocks), bool), alpha[r.last(blocks - 1)], np.arange(len(blocks)), 0
+        while len(of):
+            at = r.begin[t] + r.rank[blocks[of]]
+            cur, scales[at] = scaled((cur @ move) * seen[at])
+            same, end = np.abs(cur - alpha[at]).max(1) <= SAME, r.size[blocks[of]] == t + 1
+            alpha[at] = cur
+            changed[of[end & ~same]] = True
+            go = ~(same | end)
+            cur, of, t = cur[go], of[go], t + 1
+        return changed
+
+    settle(r.begins, ahead)
+    back = np.ascontiguousarray(move.T)
+    cur = np.zeros((0, k), np.float32)
     for t in range(len(r.live) - 1, -1, -1):
-        n = int(r.live[t])
-        at = slice(r.begin[t], r.begin[t] + n)
-        beta = np.ones((n, k), np.float32)
-        if len(ahead):
-            beta[: len(ahead)] = ahead @ move.T
-            moves += alpha[at][: len(ahead)].T @ ahead
-        gamma[at] = alpha[at] * beta
-        ahead = emit[r.codes[at]] * beta / scales[at][:, None]
-    first = gamma[: int(r.live[0])] if len(r.live) else np.zeros((0, k))
-    by_class = np.stack([np.bincount(r.codes, gamma[:, j], c) for j in range(k)], 1)
-    return np.concatenate([first[begins].sum(0), first[~begins].sum(0), (moves * model.move).ravel(), by_class.ravel()])
+        at = slice(r.begin[t], r.begin[t] + int(r.live[t]))
+        beta[at] = 1 / k
+        if len(cur):
+            beta[at][: len(cur)] = scaled(cur @ back)[0]
+        cur = seen[at] * beta[at]
+
+    def behind(blocks: np.ndarray) -> np.ndarray:
+        changed, of, t = np.zeros(len(blocks), bool), np.arange(len(blocks)), r.size[blocks] - 1
+        cur = r.first(blocks + 1)
+        cur = seen[cur] * beta[cur]
+        while len(of):
+            at = r.begin[t] + r.rank[blocks[of]]
+            new = scaled(cur @ back)[0]
+            same, end = np.abs(new - beta[at]).max(1) <= SAME, t == 0
+            beta[at] = new
+            changed[of[end & ~same]] = True
+            go = ~(same | end)
+            cur, of, t = (seen[at] * new)[go], of[go], t[go] - 1
+        return changed
+
+    settle_back(r.ends, behind)
+    gamma = scaled(alpha * beta)[0]
+    stops = np.zeros(len(flat), bool)
+    stops[np.cumsum([len(s) for s in sequences], dtype=np.int64) - 1] = True
+    one, two = r.pos[:-1][~stops[:-1]], r.pos[1:][~stops[:-1]]
+    after = seen[two] * beta[two]
+    moves = (alpha[one] / ((alpha[one] @ move) * after).sum(1, keepdims=True)).T @ after if len(one) else np.zeros((k, k))
+    by_class = np.stack([np.bincount(codes, gamma[:, j], c) for j in range(k)], 1)
+    first = gamma[r.first(np.flatnonzero(r.begins))].sum(0)
+    return np.concatenate([first, (moves * model.move).ravel(), by_class.ravel(), [np.log(scales, dtype=np.float64).sum()]])
 
 
 def _expect(batches, model):
-    model, held, begins, size, total = model.value, [], [], 0, None
+    model, held, size, total = model.value, [], 0, None
     for batch in batches:
         for codes in batch.column(0).to_pylist():
-            seq = np.frombuffer(codes, np.uint16)
-            for a in range(0, len(seq), STRETCH):
-                held.append(seq[a : a + STRETCH])
-                begins.append(a == 0)
-            size += len(seq)
+            held.append(np.frombuffer(codes, np.uint16))
+            size += len(held[-1])
             if size > 300_000:
-                got = expected(model, held, np.array(begins))
-                total, held, begins, size = got if total is None else total + got, [], [], 0
+                got = expected(model, held)
+                total, held, size = got if total is None else total + got, [], 0
     if held:
-        got = expected(model, held, np.array(begins))
+        got = expected(model, held)
         total = got if total is None else total + got
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
 
 
 def train(coded: DataFrame, classes: int = OWN + SHARED, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Rounds of Baum-Welch over the coded training texts; only the model's own counts come to the driver."""
+    """Rounds of Baum-Welch over the coded training texts, until the likelihood a token gains less than GAIN; only the
+    model's own counts come to the driver."""
     spark, texts = coded.sparkSession, coded.where("learns").select("codes")
-    model, unigram = None, np.full(classes, 1 / classes)
-    for n in range(rounds + 1):
-        if n == 0:  # one state learns the classes' shares
-            model = Hmm(np.ones(1), np.ones(1), np.ones((1, 1)), unigram[:, None])
-            found = map_batches(texts, _class_counts, "i int, x double")
-        else:
-            shared = spark.sparkContext.broadcast(model)
-            found = map_batches(texts, functools.partial(_expect, model=shared), "i int, x double")
-        sums = found.groupBy("i").agg(F.sum("x").alias("x")).collect()
-        k = len(model.first)
-        x = np.zeros(classes if n == 0 else 2 * k + k * k + classes * k)
-        for row in sums:
+    k, likelihood = states, -np.inf
+    x = np.zeros(classes)
+    for row in map_batches(texts, _class_counts, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        x[row["i"]] = row["x"]
+    unigram, tokens = (x + 0.5) / (x + 0.5).sum(), max(x.sum(), 1.0)
+    model = initial(unigram, states)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        x = np.zeros(k + k * k + classes * k + 1)
+        for row in map_batches(texts, functools.partial(_expect, model=shared), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             x[row["i"]] = row["x"]
-        if n == 0:
-            unigram = (x + 0.5) / (x + 0.5).sum()
-            model = initial(unigram, states)
-            continue
-        first, resume, move, emit = x[:k] + 0.1, x[k : 2 * k] + 0.1, x[2 * k : 2 * k + k * k].reshape(k, k) + 0.1, x[2 * k + k * k :].reshape(classes, k) + 2.0 * unigram[:, None]
-        model = Hmm(first / first.sum(), resume / resume.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        first, move, emit = x[:k] + 0.1, x[k : k + k * k].reshape(k, k) + 0.1, x[k + k * k : -1].reshape(classes, k) + 2.0 * unigram[:, None]
+        model = Hmm(first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        if x[-1] - likelihood < GAIN * tokens:
+            break
+        likelihood = x[-1]
     return model
 
 

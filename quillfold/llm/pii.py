@@ -2,8 +2,8 @@
 
 The field reads words by their shape (capital X, small x, digit d, other characters as they are) and by a few cue words
 around them. It is trained from a small labelled table, in which `<kind>...</kind>` marks the spans, and decoded by
-Viterbi in numpy over many windows at once. A text is cut into windows of WINDOW words that are decoded with CONTEXT
-words more on either side, so every word of every text is decoded, however long the text.
+Viterbi in numpy: a text's tags are the best path through all its words. Blocks of BLOCK words are walked at once and then
+joined, see blocks, however long the text.
 
 Spans that the field finds are added only beside those of the patterns, and only if they hold what their kind needs
 (`plausible`). Null texts count as empty and have no spans. Rows are judged one by one; repeated rows get equal results,
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfold.llm.blocks import Blocks, settle, settle_back
 from quillfold.llm.common import map_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, CONTEXT = 112, 8
+BLOCK, FEATURES = 128, 4
 MAX_CACHE = 300_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -37,6 +38,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+#: An address in words, with single spaces: at and dot, in brackets or not.
+_SPELLED = re.compile(r"\w ?(?:[\[({] ?at ?[\])}]| at ) ?\w[\w-]*(?: ?\. ?| ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot )\w", re.I)
+_DATE = re.compile(r"\b(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}\b|\b[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}\b")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -86,13 +90,13 @@ def plausible(kind: int, s: str) -> bool:
     """What a span of the field must hold: no number is called a card that isn't one, and so on."""
     digits = _digits(s)
     if kind == 0:
-        return "@" in s.strip("@") or bool(re.search(r"\w\s*[\[(]?\s*\b(?:at|AT)\b\s*[\])]?\s*\w+\s*(?:\.|[\[(]?\s*\b(?:dot|DOT)\b)", s))
+        return "@" in s.strip("@") or bool(_SPELLED.search(" ".join(s.split())))
     if kind == 1:
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and len(digits) == len(re.sub(r"[.\s\[\]()]|dot", "", s)) and all(map(_part_fits, parts))
     if kind == 2:
-        return 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[A-Za-z]", s)
-    return 9 <= len(digits) <= 15 and bool(re.search(r"[0-9][ ().-]+[0-9]", s)) and not re.search(r"[A-Za-z@%$]", s)
+        return 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 ./-]", s)
+    return 9 <= len(digits) <= 15 and bool(re.search(r"[0-9][ ()./-]+[0-9]", s)) and not re.search(r"[^0-9 ()./+-]", s) and not _DATE.search(s)
 
 
 # --- the labelled table -------------------------------------------------------------------------------------------
@@ -102,22 +106,56 @@ _TEMPLATES = (
     "Contact: <email>{u}.{v}@{h}.example.com</email>, or visit the office.",
     "send it to <email>{u} (at) {h} (dot) org</email> and wait for the reply",
     "mail <email>{u} at {h} dot com</email> with any question",
+    "e-mail: <email>{u} [at] {h} [dot] com</email> for the rest",
+    "my address is <email>{u}[at]{h}[dot]net</email>, not the other one",
+    "write to <email>{u}@{h} . com</email> and ask",
+    "or <email>{u} @ {h}.org</email> if that fails",
+    "reach <email>{u}(at){h}.example.org</email> at any time",
     "of the server <ip>{a}.{b}.{c}.{d}</ip> and the other one",
     "Blocked requests from <ip>{a}.{b}.{c}.{d}</ip>.",
     "host <ip>{a} . {b} . {c} . {d}</ip> did not answer",
+    "IP: <ip>{a}[.]{b}[.]{c}[.]{d}</ip> was seen again",
+    "traffic to <ip>{a}[.]{b}[.]{c}[.]{d}</ip> is blocked",
+    "the address <ip>{a}(.){b}(.){c}(.){d}</ip> was banned",
+    "ip <ip>{a} dot {b} dot {c} dot {d}</ip> in words",
+    "from <ip>{a}[dot]{b}[dot]{c}[dot]{d}</ip> on that day",
     "paid by card <card>{card4}</card> on the same day",
     "The number <card>{card}</card> was declined by the bank.",
     "visa <card>{cardd}</card> expires soon",
+    "card no. <card>{card_}</card> of the client",
+    "card <card>{cards}</card> was charged twice",
+    "Her credit card {e} <card>{card4}</card> and the code {e} are known",
+    "cards <card>{card}</card> <card>{card}</card> were sold together",
+    "by card <card>{card4}</card> {e} on that day",
+    "charged to <card>{card4}</card> {f} {e} again",
     "Call <phone>+1 ({e}) 555-{f}</phone> for the details",
     "Telephone <phone>({e}) 555-{f}</phone>, mornings only.",
     "phone: <phone>{e}-555-{f}</phone> or ask at the desk",
     "tel <phone>+44 20 7946 0{e}</phone> and leave a message",
     "reach us on <phone>0{e} {f} {e}</phone> after six",
+    "my number is <phone>020 {f} {f}</phone> so call me",
+    "his number is <phone>0{e} {e} {f}</phone>.",
+    "You can call <phone>{e}.{e}.{f}</phone> today",
+    "fax <phone>0049 30 {f} {e}</phone> or come by",
+    "mobile: <phone>07{e} {e}{e}</phone> at night",
+    "ring <phone>0{e}/{f}{e}</phone> and ask for the owner",
+    "you can phone <phone>{e}-{e}-{f}</phone> or write",
+    "Tel <phone>0{g}0/{f}{e}</phone> and so on",
+    "Tel.: <phone>0{e} - {f}{e}</phone> in the evening",
+    "text <phone>{e} {e} {f}</phone> to win",
     "the invoice of {e}.{b} euro was sent on {a}.{c}.2024 to the client",
     "version {a}.{b}.{c} of the tool, released 2024-0{g}-1{g}, is on page {f}",
+    "release {a}.{b}.{c}.{d} build {f} of the program",
+    "on 2023-1{x}-0{g} {f} people and on 0{g}.1{x}.2022 {e} more",
     "order {f}{e} has {a} items at {b},{c} each",
+    "order number {f} {f} {f} was shipped",
+    "the total was {e} {e} {e} in that year, of {f} {f} in all",
+    "part {e}-{f}-{e} is out of stock",
+    "isbn 978-{g}-{f}-{e}-{g} of the book",
+    "between {f} and {f} there were {e}",
     "token = \"{hexa}\" must never be shared",
     "chapter {g} of the book, with {e} pages and {b} plates",
+    "he sat at home and drew a dot on the page at noon",
     "it was in the morning and the rain did not stop at the house",
     "der Mann und die Frau gehen in das Haus am See",
     "la maison est dans la ville et le chat dort",
@@ -135,7 +173,7 @@ def _with_luhn(digits: str) -> str:
     return next(digits + str(k) for k in range(10) if luhn(digits + str(k)))
 
 
-def labelled_rows(copies: int = 10) -> list[tuple[str]]:
+def labelled_rows(copies: int = 8) -> list[tuple[str]]:
     """The default labelled table, made from templates by rule."""
     out = []
     for i, template in enumerate(_TEMPLATES):
@@ -144,8 +182,8 @@ def labelled_rows(copies: int = 10) -> list[tuple[str]]:
             n = [int(h[k : k + 4], 16) for k in range(0, 60, 4)]
             name = lambda k: "".join("aeioulnrst"[int(c, 16) % 10] for c in h[k : k + 5 + n[k] % 4])  # noqa: B023, E731
             card = _with_luhn("4" + "".join(str(x % 10) for x in n[:14]))
-            values = {"u": name(3), "v": name(8), "h": name(2), "a": n[0] % 256, "b": n[1] % 256, "c": n[2] % 256, "d": n[3] % 256, "e": 100 + n[4] % 900, "f": 1000 + n[5] % 9000, "g": 1 + n[6] % 9, "hexa": h[:40]}
-            values |= {"card": card, "card4": " ".join(card[k : k + 4] for k in (0, 4, 8, 12)), "cardd": "-".join(card[k : k + 4] for k in (0, 4, 8, 12))}
+            values = {"u": name(3), "v": name(8), "h": name(2), "a": n[0] % 256, "b": n[1] % 256, "c": n[2] % 256, "d": n[3] % 256, "e": 100 + n[4] % 900, "f": 1000 + n[5] % 9000, "g": 1 + n[6] % 9, "x": n[7] % 3, "hexa": h[:40]}
+            values |= {"card": card} | {name: by.join(card[k : k + 4] for k in (0, 4, 8, 12)) for name, by in (("card4", " "), ("cardd", "-"), ("card_", "."), ("cards", "/"))}
             out.append((template.format(**values),))
     return out
 
@@ -156,20 +194,24 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 
 # --- features -----------------------------------------------------------------------------------------------------
 
-_CUES = ("at", "(at)", "dot", "(dot)", "call", "phone", "phone:", "tel", "telephone", "card", "visa", "number", "mail", "contact:", "host", "server", "version", "order", "token", "=")
+_CUES = (
+    "at", "(at)", "[at]", "dot", "(dot)", "[dot]", "@", ".", "call", "phone", "phone:", "tel", "tel.:", "telephone", "fax", "mobile", "ring", "text", "card", "cards", "visa", "number", "is", "no", "mail", "e-mail", "contact", "write",
+    "ip", "address", "host", "server", "version", "release", "build", "order", "part", "isbn", "token", "=", "euro", "total", "of",
+)
 
 
 _LETTERS = "c:010000000"
+_DIGITS, _SMALL, _CAPITAL, _RUN = str.maketrans("0123456789", "d" * 10), re.compile("[a-z]"), re.compile("[A-Z]"), re.compile(r"(.)\1{4,}", re.S)
+_EQUAL, _ONE = re.compile(r"(.)\1+", re.S), r"\1"
 
 
 def shape(word: str) -> str:
     """Runs of more than four equal signs are cut to four; other alphabets count by their case."""
-    out = []
-    for c in word[:64]:
-        s = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
-        if len(out) < 4 or any(x != s for x in out[-4:]):
-            out.append(s)
-    return "".join(out)
+    if word.isascii():
+        word = _CAPITAL.sub("X", _SMALL.sub("x", word)).translate(_DIGITS)
+    else:
+        word = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
+    return _RUN.sub(r"\1\1\1\1", word)
 
 
 def coarse(word: str) -> str:
@@ -178,15 +220,17 @@ def coarse(word: str) -> str:
     return "".join("01"[x] for x in has) + str(min(n, 8) if n < 13 else 9)
 
 
-def features(word: str) -> tuple[str, str, str]:
+def features(word: str) -> tuple[str, ...]:
+    """Its shape, that with runs of equal signs as one, what it has at all, and the cue word that it is."""
     low = word.lower()
     plain, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
     if plain.isalpha() and plain[1:].islower() and len(plain) > 5:  # most words: what follows gives the same, slower
         head = "X" if plain[0].isupper() else "x"
         cue = low.strip(",.")
-        return f"s:{'xxxx' if head == 'x' else 'Xxxxx'}{mark}", _LETTERS, f"w:{cue if cue in _CUES else ''}"
+        return f"s:{'xxxx' if head == 'x' else 'Xxxxx'}{mark}", f"r:{'x' if head == 'x' else 'Xx'}{mark}", _LETTERS, f"w:{cue if cue in _CUES else ''}"
     cue = low.strip(",.") if low.strip(",.") in _CUES else low if low in _CUES else ""
-    return f"s:{shape(word)}", f"c:{coarse(word)}", f"w:{cue}"
+    s = shape(word)
+    return f"s:{s}", f"r:{_EQUAL.sub(_ONE, s)}", f"c:{coarse(word)}", f"w:{cue}"
 
 
 class Field:
@@ -197,17 +241,58 @@ class Field:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Features of words as numbers, 0 for those that training has not seen."""
-        return np.array([[self.names.get(f, 0) for f in features(w)] for w in words], np.int64).reshape(-1, 3)
+        return np.array([[self.names.get(f, 0) for f in features(w)] for w in words], np.int64).reshape(-1, FEATURES)
 
 
 def _emission(field: Field, seq: np.ndarray) -> np.ndarray:
-    """seq: [sequences, words, 3] features; 0 beyond either end."""
+    """seq: [sequences, words, features]; 0 beyond either end."""
     own = field.own[seq].sum(2)
     own[:, 1:] += field.before[seq[:, :-1]].sum(2)
     own[:, :-1] += field.after[seq[:, 1:]].sum(2)
     return own
 
 
+def slopes(field: Field, seq: np.ndarray, gold: np.ndarray, live: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Log likelihood of the gold tags of all sequences, and its slopes by each of the field's weights.
+
+    seq: [sequences, words, features], gold: [sequences, words] tags, live: where there are words.
+    """
+    n, t, k = *gold.shape, len(field.first)
+    row, weights = np.arange(n), (field.own, field.before, field.after, field.move, field.first)
+    emit = np.where(live[:, :, None], _emission(field, seq), 0.0)
+    move = field.move
+    alpha, beta = np.zeros((n, t, k)), np.zeros((n, t, k))
+    alpha[:, 0] = field.first + emit[:, 0]
+    for j in range(1, t):
+        top = alpha[:, j - 1].max(1, keepdims=True)
+        nxt = np.log(np.exp(alpha[:, j - 1] - top) @ np.exp(move) + 1e-300) + top + emit[:, j]
+        alpha[:, j] = np.where(live[:, j, None], nxt, alpha[:, j - 1])
+    for j in range(t - 2, -1, -1):
+        x = beta[:, j + 1] + emit[:, j + 1]
+        top = x.max(1, keepdims=True)
+        nxt = np.log(np.exp(x - top) @ np.exp(move).T + 1e-300) + top
+        beta[:, j] = np.where(live[:, j + 1, None], nxt, 0.0)
+    log_z = np.log(np.exp(alpha[:, -1] - alpha[:, -1].max(1, keepdims=True)).sum(1)) + alpha[:, -1].max(1)
+    here, words = row[:, None].repeat(t, 1)[live], np.arange(t)[None].repeat(n, 0)[live]
+    both = live[:, 1:]
+    likely = emit[here, words, gold[live]].sum() + field.first[gold[:, 0]].sum() + move[gold[:, :-1][both], gold[:, 1:][both]].sum() - log_z.sum()
+    g_node = -np.exp(alpha + beta - log_z[:, None, None]) * live[:, :, None]
+    np.add.at(g_node, (here, words, gold[live]), 1.0)
+    grads = [np.zeros_like(w) for w in weights]
+    for f in range(seq.shape[2]):
+        np.add.at(grads[0], seq[:, :, f][live], g_node[live])
+        np.add.at(grads[1], seq[:, :-1, f][both], g_node[:, 1:][both])
+        np.add.at(grads[2], seq[:, 1:, f][both], g_node[:, :-1][both])
+    for j in range(1, t):
+        on = live[:, j]
+        if on.any():
+            pair = np.exp(alpha[on, j - 1][:, :, None] + move[None] + (emit[on, j] + beta[on, j])[:, None, :] - log_z[on][:, None, None])
+            grads[3] -= pair.sum(0)
+            np.add.at(grads[3], (gold[on, j - 1], gold[on, j]), 1.0)
+    grads[4] += g_node[:, 0].sum(0)
+    return float(likely), grads
+
+
 def train(labelled: DataFrame, max_rows: int = 2000, steps: int = 160, rate: float = 0.12, l2: float = 2e-4) -> Field:
     """Fits the field to the first max_rows rows, in order of their text, of the labelled table."""
     marked = [r[0] for r in labelled.select(F.col(labelled.columns[0])).where(F.col(labelled.columns[0]).isNotNull()).orderBy(labelled.columns[0]).limit(max_rows).collect()]
@@ -234,45 +319,14 @@ def train(labelled: DataFrame, max_rows: int = 2000, steps: int = 160, rate: flo
             for f in features(w):
                 names.setdefault(f, len(names))
     n, t, k = len(sentences), max((len(w) for w, _ in sentences), default=1), len(TAGS)
-    seq, gold, live = np.zeros((n, t, 3), np.int64), np.zeros((n, t), np.int64), np.zeros((n, t), bool)
+    seq, gold, live = np.zeros((n, t, FEATURES), np.int64), np.zeros((n, t), np.int64), np.zeros((n, t), bool)
     blank = Field(names, *(np.zeros((len(names), k)) for _ in range(3)), np.zeros((k, k)), np.zeros(k))
     for i, (words, tags) in enumerate(sentences):
         seq[i, : len(words)], gold[i, : len(words)], live[i, : len(words)] = blank.rows(words), tags, True
     weights = [blank.own, blank.before, blank.after, blank.move, blank.first]
     m1, m2 = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    row = np.arange(n)
     for step in range(1, steps + 1):
-        field = Field(names, *weights)
-        emit = np.where(live[:, :, None], _emission(field, seq), 0.0)
-        move = field.move
-        alpha, beta = np.zeros((n, t, k)), np.zeros((n, t, k))
-        alpha[:, 0] = field.first + emit[:, 0]
-        for j in range(1, t):
-            top = alpha[:, j - 1].max(1, keepdims=True)
-            nxt = np.log(np.exp(alpha[:, j - 1] - top) @ np.exp(move) + 1e-300) + top + emit[:, j]
-            alpha[:, j] = np.where(live[:, j, None], nxt, alpha[:, j - 1])
-        for j in range(t - 2, -1, -1):
-            x = beta[:, j + 1] + emit[:, j + 1]
-            top = x.max(1, keepdims=True)
-            nxt = np.log(np.exp(x - top) @ np.exp(move).T + 1e-300) + top
-            beta[:, j] = np.where(live[:, j + 1, None], nxt, 0.0)
-        log_z = np.log(np.exp(alpha[:, -1] - alpha[:, -1].max(1, keepdims=True)).sum(1)) + alpha[:, -1].max(1)
-        node = np.exp(alpha + beta - log_z[:, None, None]) * live[:, :, None]
-        g_node = -node
-        np.add.at(g_node, (row[:, None].repeat(t, 1)[live], np.arange(t)[None].repeat(n, 0)[live], gold[live]), 1.0)
-        grads = [np.zeros_like(w) for w in weights]
-        for f in range(3):
-            np.add.at(grads[0], seq[:, :, f][live], g_node[live])
-            both = live[:, 1:]
-            np.add.at(grads[1], seq[:, :-1, f][both], g_node[:, 1:][both])
-            np.add.at(grads[2], seq[:, 1:, f][both], g_node[:, :-1][both])
-        for j in range(1, t):
-            on = live[:, j]
-            if on.any():
-                pair = np.exp(alpha[on, j - 1][:, :, None] + move[None] + (emit[on, j] + beta[on, j])[:, None, :] - log_z[on][:, None, None])
-                grads[3] -= pair.sum(0)
-                np.add.at(grads[3], (gold[on, j - 1], gold[on, j]), 1.0)
-        grads[4] += g_node[:, 0].sum(0)
+        _, grads = slopes(Field(names, *weights), seq, gold, live)
         for i, g in enumerate(grads):
             g = g / max(n, 1) - l2 * weights[i]
             m1[i] = 0.9 * m1[i] + 0.1 * g
@@ -286,22 +340,65 @@ def train(labelled: DataFrame, max_rows: int = 2000, steps: int = 160, rate: flo
 # --- decoding -----------------------------------------------------------------------------------------------------
 
 
-def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Best tags of [sequences, words, tags] scores, all sequences at once; ties go to the smaller tag."""
-    n, t, k = emit.shape
-    back = np.zeros((t, n, k), np.int8)
-    score = first + emit[:, 0]
-    move_to = np.ascontiguousarray(move.T)
-    for j in range(1, t):
-        reach = score[:, None, :] + move_to[None]
+def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Best tags of sequences of these sizes, whose scores, [word, tag], follow each other; ties go to the smaller tag."""
+    r, k = Blocks(sizes, BLOCK), emit.shape[1]
+    emit, into = r.laid(emit), np.ascontiguousarray(move.T)
+    score, back, tags = np.empty_like(emit), np.empty(emit.shape, np.int8), np.empty(len(emit), np.int8)
+
+    def step(cur: np.ndarray, at) -> tuple[np.ndarray, np.ndarray]:
+        """Scores less their largest, and where each came from."""
+        reach = cur[:, None, :] + into
         best = reach.argmax(2)
-        back[j] = best
-        score = np.take_along_axis(reach, best[:, :, None], 2)[:, :, 0] + emit[:, j]
-    tags = np.zeros((n, t), np.int8)
-    tags[:, -1] = score.argmax(1)
-    for j in range(t - 1, 0, -1):
-        tags[:, j - 1] = back[j, np.arange(n), tags[:, j]]
-    return tags
+        new = np.take_along_axis(reach, best[:, :, None], 2)[:, :, 0] + emit[at]
+        return new - new.max(1, keepdims=True), best
+
+    for t, n in enumerate(r.live.tolist()):
+        at = slice(r.begin[t], r.begin[t] + n)
+        if t:
+            cur, back[at] = step(cur[:n], at)
+        else:
+            cur = emit[at] + np.where(r.begins[r.order][:, None], first, 0).astype(emit.dtype)
+            cur -= cur.max(1, keepdims=True)
+        score[at] = cur
+
+    def ahead(blocks: np.ndarray) -> np.ndarray:
+        changed, cur, of, t = np.zeros(len(blocks), bool), score[r.last(blocks - 1)], np.arange(len(blocks)), 0
+        while len(of):
+            at = r.begin[t] + r.rank[blocks[of]]
+            cur, back[at] = step(cur, at)
+            same, end = (cur == score[at]).all(1), r.size[blocks[of]] == t + 1
+            score[at] = cur
+            changed[of[end & ~same]] = True
+            go = ~(same | end)
+            cur, of, t = cur[go], of[go], t + 1
+        return changed
+
+    settle(r.begins, ahead)
+    tag = np.zeros(0, np.int8)
+    for t in range(len(r.live) - 1, -1, -1):
+        n, at = int(r.live[t]), slice(r.begin[t], r.begin[t] + int(r.live[t]))
+        m = len(tag)
+        if m:
+            tags[at][:m] = back[r.begin[t + 1] + np.arange(m), tag]
+        tags[at][m:n] = score[at][m:n].argmax(1)
+        tag = tags[at]
+
+    def behind(blocks: np.ndarray) -> np.ndarray:
+        changed, of, t = np.zeros(len(blocks), bool), np.arange(len(blocks)), r.size[blocks] - 1
+        then = r.first(blocks + 1)
+        while len(of):
+            new = back[then, tags[then]]
+            at = r.begin[t] + r.rank[blocks[of]]
+            same, end = new == tags[at], t == 0
+            tags[at] = new
+            changed[of[end & ~same]] = True
+            go = ~(same | end)
+            then, of, t = at[go], of[go], t[go] - 1
+        return changed
+
+    settle_back(r.ends, behind)
+    return tags[r.pos]
 
 
 class Decoder:
@@ -314,8 +411,8 @@ class Decoder:
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Words of equal features share a row of scores; 0 is the row outside a text."""
         if len(self.cache) > MAX_CACHE or not self.known:
-            self.cache, self.known = {}, [(0, 0, 0)]
-            self.place = {(0, 0, 0): 0}
+            self.cache, self.known = {}, [(0,) * FEATURES]
+            self.place = {(0,) * FEATURES: 0}
         fresh = [w for w in set(words) if w not in self.cache]
         if fresh:
             for w, key in zip(fresh, map(tuple, self.field.rows(fresh).tolist()), strict=True):
@@ -329,41 +426,21 @@ class Decoder:
         return np.fromiter(map(self.cache.__getitem__, words), np.int32, len(words))
 
     def tags(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Tags of each text's words."""
+        """Tags of each text's words: the path of the highest score; ties go to the smaller tag."""
         sizes = np.array([len(x) for x in texts], np.int64)
         if not sizes.sum():
             return [np.zeros(0, np.int8) for _ in texts]
-        flat = self._numbers([w for x in texts for w in x])
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        starts, ends, lows, highs = [], [], [], []
-        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            for s in range(a, b, WINDOW):
-                starts.append(s)
-                ends.append(min(s + WINDOW, b))
-                lows.append(max(a, s - CONTEXT))
-                highs.append(min(b, s + WINDOW + CONTEXT))
-        starts, ends, lows, highs = map(np.array, (starts, ends, lows, highs))
-        out = np.zeros(len(flat), np.int8)
-        length = highs - lows
-        for t in np.unique(-(-length // 32)):  # windows of like length together
-            group = np.flatnonzero(-(-length // 32) == t)
-            for at in range(0, len(group), 4096):
-                g = group[at : at + 4096]
-                width = int(length[g].max())
-                index = lows[g][:, None] + np.arange(width)
-                inside = index < highs[g][:, None]
-                ids = np.where(inside, flat[np.minimum(index, len(flat) - 1)], 0)
-                emit = self.own[ids]
-                emit[:, 1:] += self.before[ids[:, :-1]]
-                emit[:, :-1] += self.after[ids[:, 1:]]
-                emit[~inside] = 0
-                emit[~inside, 0] = 50.0  # beyond the end only O is possible
-                got = viterbi(emit, self.field.move, self.field.first)
-                mine = (index >= starts[g][:, None]) & (index < ends[g][:, None])
-                out[index[mine]] = got[mine]
-        return np.split(out, begin[1:-1])
+        flat, cuts = self._numbers([w for x in texts for w in x]), np.cumsum(sizes)[:-1]
+        emit = self.own[flat]
+        joins = np.ones(len(flat) - 1, bool)  # whether a word and the next one are of one text
+        joins[cuts[(cuts > 0) & (cuts < len(flat))] - 1] = False
+        emit[1:][joins] += self.before[flat[:-1][joins]]
+        emit[:-1][joins] += self.after[flat[1:][joins]]
+        return np.split(viterbi(emit, self.field.move, self.field.first, sizes), cuts)
 
 
+#: No kind's span has more words.
+MOST_WORDS = 19
 _EDGE = " ,.;:!?\"'<>[]{}|*#$%&="
 
 
@@ -378,7 +455,7 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
 def field_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs of tagged words as plausible (start, kind, end), without the marks at their edges.
 
-    A run that is no span as a whole, such as two numbers side by side, gives those of its words that are.
+    A run that is no span as a whole, such as two numbers side by side, gives from its start on the longest parts that are.
     """
     out, words = [], [m.span() for m in _WORD.finditer(text)]
     i = 0
@@ -389,11 +466,14 @@ def field_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
         kind, j = (int(tags[i]) - 1) // 2, i + 1
         while j < len(tags) and tags[j] == 2 + 2 * kind:
             j += 1
-        whole = _trimmed(text, words[i][0], words[j - 1][1])
-        for a, b in [whole] if plausible(kind, text[slice(*whole)]) else [_trimmed(text, *w) for w in words[i:j]]:
-            if a < b and plausible(kind, text[a:b]):
-                out.append((a, kind, b))
-        i = j
+        while i < j:
+            for e in range(min(j, i + MOST_WORDS), i, -1):
+                a, b = _trimmed(text, words[i][0], words[e - 1][1])
+                if a < b and plausible(kind, text[a:b]):
+                    out.append((a, kind, b))
+                    i = e - 1
+                    break
+            i += 1
     return out
 
 

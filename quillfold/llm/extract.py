@@ -3,8 +3,9 @@
 A page is cut into blocks at block-level tags. First pass: blocks of menus, forms, comments and the like, blocks that
 are mostly links, and blocks of notices are boilerplate; long blocks with enough stop words (or of any words inside an
 article) are content; what is short, or long without stop words, stays undecided. Second pass: an undecided block takes
-the label of its nearest decided neighbours in its section, then on the page; neighbours that disagree leave it to the
-section: content inside an article or main part, boilerplate elsewhere.
+the label of its nearest decided neighbours, one on either side: in its section, else in its part of the page, else among
+all blocks that no menu or the like refused for its place. Neighbours that disagree leave it to the section: content
+inside an article or main part, boilerplate elsewhere. Without any such neighbour it is content.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by one newline in page
 order. A null or empty page, or one without content, has an empty text. Broken pages (unclosed tags, cut off in the
@@ -14,6 +15,7 @@ results, further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
@@ -32,7 +34,7 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces cette comme dans de du elle en est et il ils je la le les leur mais ne nous par pas plus pour qu que qui sa se ses son sont sur un une vous "
     "al como con del el ella era esta este ha la las lo los más muy no o para pero por que se si sin sobre su sus también una y ya".split()
 )
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas head select textarea audio video".split())
+SKIPPED = frozenset("script style noscript template svg math iframe object canvas title select textarea audio video".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button".split())
 MAIN = frozenset(("article", "main"))
 BLOCKS = frozenset(
@@ -48,9 +50,15 @@ NAMES = re.compile(
 )
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-]|body|text|content)", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@functools.cache
+def _close(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)")
 
 
 @dataclass
@@ -78,7 +86,19 @@ def blocks(page: str) -> list[Block]:
     pieces: list[str] = []
     state = {"link": 0, "a": 0, "sections": 0}
     opened: Counter[str] = Counter()
-    at, end = 0, len(page)
+    last_close: dict[str, int] = {}
+    at, end, low = 0, len(page), page.lower()
+    if len(low) != end:  # a letter became two
+        low = page.translate(_LOWER)
+
+    def closed(name: str) -> int:
+        """Where what is skipped ends; -1 if it is never closed."""
+        if name not in last_close:
+            last_close[name] = low.rfind(f"</{name}")
+        if at > last_close[name]:
+            return -1
+        m = _close(name).search(low, at)
+        return m.end() if m else -1
 
     def where() -> tuple[bool, bool, int]:
         return stack[-1][1:] if stack else (False, False, 0)
@@ -107,16 +127,24 @@ def blocks(page: str) -> list[Block]:
                 state["a"] = max(0, state["a"] - 1)
             if name in BLOCKS:
                 flush()
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1) if opened[name] else -1
-                if depth >= 0 and (name != "p" or depth == len(stack) - 1):
+                if name == "p":  # what isn't the innermost stays open
+                    depth = len(stack) - 1 if stack and stack[-1][0] == "p" else -1
+                else:
+                    depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1) if opened[name] else -1
+                if depth >= 0:
                     for gone in stack[depth:]:
                         opened[gone[0]] -= 1
                     del stack[depth:]
             continue
         if name in SKIPPED:
             if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end if name in ("script", "style") else at
+                to = closed(name)
+                if to >= 0:
+                    at = to
+                elif name in ("script", "style"):
+                    at = end
+                elif name == "title":
+                    at = next_tag if (next_tag := page.find("<", at)) >= 0 else end
             if name in BLOCKS:
                 flush()
             continue
@@ -128,6 +156,9 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         state["a"] = 0
+        if name == "body":  # whatever the head left open
+            stack.clear()
+            opened.clear()
         if name in ("p", "li", "tr", "td", "th", "dd", "dt", "option") and stack and stack[-1][0] == name:
             opened[stack.pop()[0]] -= 1
         if name in VOID or m[3].rstrip().endswith("/"):
@@ -159,26 +190,23 @@ def classify(found: list[Block], rules: type[Rules] = Rules) -> list[Block]:
             b.label = False
         elif len(b.text) >= rules.long_chars and (stops >= rules.stop_density or b.main):
             b.label = True
-    keys = (lambda b: ("section", b.section), lambda b: ("part", b.main, b.boilerplate), lambda b: ("page",))
+    keys = (lambda b: b.section, lambda b: ("part", b.main), lambda b: "page")
     decided = [b.label for b in found]
     sides: list[dict[int, list[bool]]] = [{}, {}, {}]  # of each undecided block, by key: its nearest decided neighbours' labels
     for way in (range(len(found)), range(len(found) - 1, -1, -1)):
-        nearest: dict[tuple, bool] = {}
+        nearest: dict[object, bool] = {}
         for i in way:
+            if found[i].boilerplate:
+                continue
             for k, key in enumerate(keys):
                 if decided[i] is not None:
                     nearest[key(found[i])] = decided[i]
                 elif (label := nearest.get(key(found[i]))) is not None:
                     sides[k].setdefault(i, []).append(label)
-    refused = {b.section for b, label in zip(found, decided, strict=True) if label is False}
     for i, b in enumerate(found):
-        if decided[i] is not None:
-            continue
-        near = next((x[i] for x in sides if i in x), None)
-        # a page of undecided blocks only: nothing on it says that they are not its text
-        b.label = True if near is None else near[0] if len(set(near)) == 1 else b.main
-        if b.main and b.section not in refused:
-            b.label = True
+        if decided[i] is None:
+            near = next((x[i] for x in sides if i in x), [True])
+            b.label = near[0] if len(set(near)) == 1 else b.main
     return found
 
 

@@ -126,17 +126,43 @@ def test_baum_welch_counts_match_enumeration():
 
     model = hmm.initial(np.array([0.5, 0.3, 0.2]), 2)
     s = np.array([2, 0, 1, 0], np.uint16)
-    got = hmm.expected(model, [s], np.array([True]))
+    got = hmm.expected(model, [s])
     want, total = np.zeros(len(got)), 0.0
     for p in itertools.product(range(2), repeat=len(s)):
         w = model.first[p[0]] * np.prod([model.move[a, b] for a, b in itertools.pairwise(p)]) * np.prod([model.emit[x, k] for x, k in zip(s, p, strict=True)])
         total += w
         want[p[0]] += w
         for a, b in itertools.pairwise(p):
-            want[4 + 2 * a + b] += w
+            want[2 + 2 * a + b] += w
         for x, k in zip(s, p, strict=True):
-            want[8 + 2 * x + k] += w
-    assert np.allclose(got, want / total, atol=1e-5)
+            want[6 + 2 * x + k] += w
+    assert np.allclose(got[:-1], want[:-1] / total, atol=1e-5) and math.isclose(got[-1], math.log(total), rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("sticky", [0.0, 0.999])
+def test_baum_welch_reads_whole_texts(monkeypatch, sticky):
+    rng = np.random.default_rng(3)
+    model = hmm.initial(rng.dirichlet(np.ones(20)), 4)
+    model.move = (1 - sticky) * model.move + sticky * np.eye(4)
+    texts = [rng.integers(0, 20, n).astype(np.uint16) for n in (1, 500, 7, 8, 3, 64, 1, 129)]
+    whole = hmm.expected(model, texts)  # blocks of 192: most texts are one block
+    for block in (1, 5, 64, 1000):
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        assert np.allclose(hmm.expected(model, texts), whole, rtol=1e-3, atol=2e-3)
+    k, moves = 4, np.zeros((4, 4))
+    for t in texts:
+        a = [model.first * model.emit[t[0]]]
+        a[0] = a[0] / a[0].sum()
+        for x in t[1:]:
+            a.append(a[-1] @ model.move * model.emit[x])
+            a[-1] /= a[-1].sum()
+        b = np.ones(k)
+        for i in range(len(t) - 1, 0, -1):
+            pair = a[i - 1][:, None] * model.move * (model.emit[t[i]] * b)
+            moves += pair / pair.sum()
+            b = model.move @ (model.emit[t[i]] * b)
+            b /= b.sum()
+    assert np.allclose(whole[k : k + k * k].reshape(k, k), moves, rtol=1e-3, atol=2e-3)
 
 
 def test_training_raises_the_likelihood(spark, tables):
@@ -189,12 +215,13 @@ def test_encoder_matches_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(packing.TOKENIZER))
-    t.encode_special_tokens = True
     e, rng = packing.Encoder(), np.random.default_rng(4)
     alphabet = "aé ß\n\t\r\x85\xa0　 \x1c１²½٣日本'sd'll!?#$.,0129"
     texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} \n{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 13 == 0)]
     texts += ["a" * 20_000, " " * 20_000 + "x", "a" + " " * 1_200_000 + "x", "ab" * 10_000]
-    texts += ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(0, 40))) for _ in range(1500)] + ["<|endoftext|> x"]
+    texts += ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(0, 40))) for _ in range(1500)]
+    texts += ["<|endoftext|> x", "a<|endoftext|>", "x  <|endoftext|>\n\n y<|endoftext|><|endoftext|>", "<|endoftext", "  <|endoftext|>  "]
+    texts += [a + run + b for a in ("", "x", "x\n") for run in (" " * 3000, "\n" * 1000 + " ", " \t\u3000" * 800) for b in ("", "x", "<|endoftext|>", "<|endo", " 1")] + [(" " * 1500 + "q") * 3]
     assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 

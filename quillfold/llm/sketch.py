@@ -7,8 +7,9 @@ an empty sketch.
 
 Likeness is the larger of the two containments: shared hashes over the hashes of the smaller sketch. Two empty sketches
 are alike (1), an empty one and another are not (0). Null texts are empty. The next document is the one of the next
-smaller doc_id (rows of equal doc_id follow each other in order of their text, rows without doc_id come last); after
-the last comes the first, which for a single row is the row itself.
+smaller doc_id (rows of equal doc_id follow each other in order of a hash of their text, rows without doc_id come last, in
+that order too); after the last comes the first, which for a single row is the row itself. Further columns are ignored, an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,24 +110,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of (part, doc_id, text, ahead), sorted so that each row's next document follows it in its partition.
 
-    Parts are ranges of doc_id. The first row of a part is copied behind the end of the part before it (ahead is true),
-    so the text is shuffled once and no window spans the whole table. Only the parts' bounds come to the driver.
+    Parts are ranges of doc_id, and behind them, for rows without one, ranges of the text's hash. The first row of a part
+    is copied behind the end of the part before it (ahead is true), so the text is shuffled once and no window spans the
+    whole table. Only the parts' bounds come to the driver.
     """
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    place = F.coalesce(-F.col(id_col).cast("long"), F.lit(2**63 - 1))  # null ids last
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place.alias("place"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    place = F.bitwise_not(F.col(id_col).cast("long"))  # falls as the id rises, for every long
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), place.alias("place"), F.xxhash64(text).alias("hash"))
     bounds = rows.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)], 100 * parts).alias("b")).first()["b"] or []
-    bounds = np.array(sorted(set(bounds)), np.int64)
-    part = F.pandas_udf(lambda s: pd.Series(np.searchsorted(bounds, s.to_numpy()), dtype="int32"), "int")
-    rows = rows.withColumn("part", part("place"))
-    heads = rows.groupBy("part").agg(F.min(F.struct("place", F.xxhash64("text").alias("h"))).alias("m")).orderBy("part").collect()
+    bounds, step = np.array(sorted(set(bounds)), np.int64), (1 << 63) // parts * 2
+
+    @F.pandas_udf("int")
+    def part(known: pd.Series, place: pd.Series, hash_: pd.Series) -> pd.Series:
+        behind = len(bounds) + 1 + (hash_.to_numpy(np.int64) // step + parts // 2 + 1)
+        return pd.Series(np.where(known, np.searchsorted(bounds, place.to_numpy(np.int64)), behind), dtype="int32")
+
+    rows = rows.withColumn("part", part(F.col("place").isNotNull(), F.coalesce("place", F.lit(0)), "hash"))
+    heads = rows.groupBy("part").agg(F.min(F.struct("place", "hash")).alias("m")).orderBy("part").collect()
     if not heads:
         return rows.select("part", "doc_id", "text", F.lit(False).alias("ahead"))
-    first = spark.createDataFrame([(h["m"]["place"], h["m"]["h"], heads[i - 1]["part"]) for i, h in enumerate(heads)], "place long, h long, to int")
-    head_rows = rows.join(F.broadcast(first), (F.xxhash64("text") == first["h"]) & (rows["place"] == first["place"])).select(F.col("to").alias("part"), "doc_id", "text", F.lit(True).alias("ahead"))
-    both = rows.select("part", "doc_id", "text", F.lit(False).alias("ahead")).unionByName(head_rows.dropDuplicates(["part"]))
-    return both.repartitionById(parts, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    first = spark.createDataFrame([(h["m"]["place"], h["m"]["hash"], heads[i - 1]["part"]) for i, h in enumerate(heads)], "place long, hash long, to int")
+    head_rows = rows.join(F.broadcast(first), (rows["hash"] == first["hash"]) & rows["place"].eqNullSafe(first["place"])).select(F.col("to").alias("part"), "doc_id", "text", F.lit(True).alias("ahead"), rows["hash"])
+    both = rows.select("part", "doc_id", "text", F.lit(False).alias("ahead"), "hash").unionByName(head_rows.dropDuplicates(["part"]))
+    dealt = both.repartitionById(2 * parts + 3, "part") if heads[-1]["part"] > len(bounds) else both.repartitionById(parts, "part")
+    return dealt.sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "hash").select("part", "doc_id", "text", "ahead")
 
 
 _ARROW = pa.schema(

@@ -7,6 +7,10 @@ needs the totals of all documents, three sums, and changes each document's rate
 rates are a function of the posteriors and of the few steps taken: nothing as long as the corpus leaves the executors.
 A document is repeated floor(rate) times and once more by chance, by a hash of its id.
 
+Unless weights are given, the targets are what clean documents hold: every document counts as far as it is clean, so a
+domain's target is the sum of EPOCHS * posterior of clean * tokens * posterior of the domain. What is surely not clean has
+no place in that mixture; a share of low quality or toxic text is left in it only where the classifier can't tell.
+
 Tokens are words. Null texts are empty: no tokens, and the features of an empty text. Labels that are null, or whose
 document is missing, are not learned from; of several labels of one document the worst counts. Repeated rows are mixed
 each (with the same outcome); further columns are ignored; an empty table gives an empty result. Without labels every
@@ -26,10 +30,10 @@ from pyspark.sql import functions as F
 from quillfold.llm.common import map_batches, raw, table, written
 
 DOMAINS = ("clean", "low", "toxic")
-#: Shares of the domains in the mixture, and how often the first one is read in it.
-WEIGHTS, EPOCHS = (0.87, 0.05, 0.08), 1.1
+#: How often what is surely clean is read in the mixture.
+EPOCHS = 1.2
 MAX_LABELLED, FEATURES = 8000, 64
-MAX_STEPS, TOLERANCE = 25, 1e-4
+MAX_STEPS, TOLERANCE = 40, 1e-4
 
 _MARKS = b".,;:!?()\"'"
 
@@ -83,7 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Classifier({}, np.array([[30.0, 0.0, 0.0]]))
     keys = spark.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "label_id long, y int")  # max_labelled rows
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(keys), texts["id"] == keys["label_id"]).select("y", "text")
+    # of repeated ids one text, so that the sample is as bounded as its ids
+    sample = texts.join(F.broadcast(keys), texts["id"] == keys["label_id"]).groupBy("label_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     sample = written(map_batches(sample, _labelled_features, "y int, f array<binary>"))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
@@ -154,17 +159,20 @@ def rate(steps: list[tuple[float, ...]]) -> Column:
     return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - down(s)))
 
 
-def fit_rates(scored: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> list[tuple[float, ...]]:
-    """Steps of the projected gradient of the squared errors of the domains' totals.
+def fit_rates(scored: DataFrame, weights: tuple[float, ...] | None = None, epochs: float = EPOCHS) -> list[tuple[float, ...]]:
+    """Steps of the projected gradient of the squared errors of the domains' totals, each error by its target's scale.
 
-    Errors are weighed by the inverse Gram matrix of the posteriors (by tokens, of the documents whose rate isn't 0), in
-    the metric of the documents' tokens. So scaled, one step meets the targets but for the rates it would push below 0,
-    and a few more settle those. A round sums three totals and six products over all documents.
+    In the metric of the documents' tokens a step takes the same from the rates of all documents of the same posterior.
+    The first try of a step weighs the errors by the inverse Gram matrix of the posteriors (by tokens, of the documents
+    whose rate isn't 0): it meets the targets but for the rates it would push below 0. A step that doesn't lessen the
+    error is halved, then the plain gradient is tried, as long as the last step's curvature suggests, then as long as is
+    safe; one that doesn't lessen it either isn't taken. So the last step is the best. A try sums a dozen numbers over all
+    documents; after MAX_STEPS tries targets that no rates meet may be missed by a little more than need be.
     """
     k = len(DOMAINS)
+    p, tokens = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens")
 
     def sums(steps) -> tuple[np.ndarray, np.ndarray]:
-        p, tokens = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens")
         rated = scored.withColumn("r", rate(steps))
         live = F.when(F.col("r") > 0, tokens).otherwise(0)
         row = rated.agg(*(F.sum(F.col("r") * tokens * p[i]).alias(f"s{i}") for i in range(k)), *(F.sum(live * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i, k))).first()
@@ -172,16 +180,27 @@ def fit_rates(scored: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> lis
 
     steps: list[tuple[float, ...]] = []
     have, gram = sums(steps)
-    target = np.array(weights) / weights[0] * epochs * have[0]
-    now, scale, best = have, np.maximum(have, 1e-9), np.inf
-    for _ in range(MAX_STEPS):
-        error = now - target
-        off = np.abs(error / scale).max()
-        if not have.sum() or off <= TOLERANCE or off >= best:  # met, or as near as rates of 0 and more can come
-            break
-        best = off
-        steps.append(tuple(np.linalg.solve(gram + 1e-9 * have.sum() * np.eye(k), error)))
-        now, gram = sums(steps)
+    if not have.sum():
+        return steps
+    target = epochs * (gram[0] if weights is None else np.array(weights) / weights[0] * have[0])
+    scale = np.maximum(target, 1e-3 * target.sum())
+    off, now, tries, before = lambda s: float(np.square((s - target) / scale).sum()), have, 0, None
+    while off(now) > TOLERANCE**2 and tries < MAX_STEPS:
+        error, slope = now - target, (now - target) / scale**2
+        longest = np.linalg.eigvalsh(gram / np.outer(scale, scale)).max()
+        full = np.linalg.solve(gram + 1e-9 * have.sum() * np.eye(k), error)
+        turn = (now - before) / scale if before is not None else np.zeros(k)
+        curved = turn @ (gram / np.outer(scale, scale)) @ turn
+        guess = slope * (turn @ turn) / curved if curved > 0 else slope / max(longest, 1e-30)
+        for step in (full, full / 2, guess, slope / max(longest, 1e-30), slope / max(4 * longest, 1e-30)):
+            tries += 1
+            tried, curve = sums([*steps, tuple(step)])
+            if off(tried) < off(now) * (1 - 1e-6):
+                break
+        else:
+            break  # as near as rates of 0 and more can come
+        steps.append(tuple(step))
+        now, gram, before = tried, curve, now
     return steps
 
 
@@ -190,7 +209,7 @@ def copies(id_col: str = "doc_id", seed: int = 11) -> Column:
     return F.floor(F.col("rate") + chance).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] | None = None, epochs: float = EPOCHS) -> DataFrame:
     """doc_id, n_tokens, posteriors, rate and copies of every row."""
     classifier = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

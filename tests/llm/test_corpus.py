@@ -1,5 +1,7 @@
 """Operators that need the whole corpus, against brute force."""
 
+import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -189,8 +191,6 @@ def test_fingerprints_follow_the_order(spark):
     ids = sorted({k for k, _ in rows if k is not None}, reverse=True)
     texts = {k: t or "" for k, t in rows}
     by_id = {r["doc_id"]: r for r in got}
-    import hashlib
-
     for k, after in zip(ids, ids[1:], strict=False):
         if k == 1:
             continue  # repeated: the next one is its copy
@@ -198,11 +198,29 @@ def test_fingerprints_follow_the_order(spark):
         changed = t[: len(t) - len(t) // 2] + texts[after][: len(t) // 2]
         assert by_id[k]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and by_id[k]["n_chars"] == len(t)
     same = {}
-    for r in got:
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     for k, t in rows:
         if k is not None:
             assert same.setdefault(t or "", by_id[k]["fingerprint"]) == by_id[k]["fingerprint"]
+    for r in got:
+        one, two = (set(sketch.decode(r[c]).tolist()) for c in ("fingerprint", "edited_fingerprint"))
+        assert r["near_edited"] == (len(one & two) / min(len(one), len(two)) if one and two else float(one == two))
+    for k, after in zip(ids, ids[1:], strict=False):
+        if k != 1:
+            one, two = (set(sketch.decode(by_id[x]["fingerprint"]).tolist()) for x in (k, after))
+            assert by_id[k]["near_next"] == (len(one & two) / min(len(one), len(two)) if one and two else float(one == two))
+
+
+def test_fingerprints_of_any_id(spark):
+    """The least and the largest id, and very many rows without one: each has one next row, and all rows make one circle."""
+    rows = [(-(2**63), "least one"), (2**63 - 1, "largest one"), (0, "zero"), *((None, f"text {i % 40}") for i in range(300))]
+    ordered = [r[2] for r in sorted(sketch.in_order(small(spark, rows).repartition(3), "doc_id", "text").where("not ahead").collect(), key=lambda r: r[0])]
+    assert sorted(ordered) == sorted(t for _, t in rows) and ordered[:3] == ["largest one", "zero", "least one"]
+    got = sketch.neighbours(small(spark, rows).repartition(3)).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    for k, t, after in ((2**63 - 1, "largest one", "zero"), (0, "zero", "least one")):
+        assert by_id[k]["edited_sha256"] == hashlib.sha256(sketch.edited(t, after).encode()).hexdigest()
+    assert sketch.in_order(small(spark, rows), "doc_id", "text").where("doc_id is null").select("part").distinct().count() > 2
 
 
 def test_one_row_is_its_own_next(spark):
@@ -275,22 +293,35 @@ def test_mixing_meets_its_targets(spark, tables):
     rows = mixing.mix(docs, labels).collect()
     p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows])
     n, rate = np.array([r["n_tokens"] for r in rows]), np.array([r["rate"] for r in rows])
-    have, got = n @ p, (n * rate) @ p
-    target = np.array(mixing.WEIGHTS) / mixing.WEIGHTS[0] * mixing.EPOCHS * have[0]
+    got, target = (n * rate) @ p, mixing.EPOCHS * (n * p[:, 0]) @ p
     assert len(rows) == docs.count() and (rate >= 0).all() and np.allclose(p.sum(1), 1)
-    assert np.abs(got - target).max() <= 1e-3 * have.sum()
-
-
-def test_rates_solve_the_least_squares(spark):
-    rng = np.random.default_rng(6)
-    p = rng.dirichlet([0.5, 0.5, 0.5], 200)
-    n = rng.integers(1, 500, 200)
-    df = spark.createDataFrame([(int(i), int(t), *map(float, x)) for i, (t, x) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double")
-    steps = mixing.fit_rates(df, (0.9, 0.09, 0.01), 1.0)
-    rate = np.array([r["r"] for r in df.orderBy("doc_id").select(mixing.rate(steps).alias("r")).collect()])
-    target = np.array([0.9, 0.09, 0.01]) / 0.9 * (n @ p)[0]
-    after = np.abs((n * rate) @ p - target).max()
-    assert (rate >= 0).all() and after < 0.2 * np.abs(n @ p - target).max()
+    assert np.abs(got - target).max() <= 1e-3 * target.sum()
+    assert (rate[p[:, 0] < 0.05] < 0.1).all() and (rate[p[:, 0] > 0.9] > 1).all()
+
+
+def plain_least_squares(n, p, target):
+    """The least squared error, each by its target's scale, of rates of 0 and more: many small projected steps."""
+    scale = np.maximum(target, 1e-3 * target.sum())
+    r, m = np.ones(len(n)), p / scale
+    step = 1 / np.linalg.eigvalsh(m.T * n @ m).max()
+    for _ in range(20_000):
+        r = np.maximum(0, r - step * m @ (((n * r) @ p - target) / scale))
+    return float(np.square(((n * r) @ p - target) / scale).sum())
+
+
+@pytest.mark.parametrize("seed, weights, spread", [(6, (0.9, 0.09, 0.01), 0.5), (7, (0.5, 0.3, 0.2), 3.0), (8, (0.9, 0.1, 0.0), 3.0), (9, (0.2, 0.0, 0.8), 0.3), (10, None, 0.5), (11, (0.6, 0.2, 0.2), 8.0)])
+def test_rates_solve_the_least_squares(spark, seed, weights, spread):
+    rng = np.random.default_rng(seed)
+    p, n = rng.dirichlet([spread] * 3, 200), rng.integers(1, 500, 200)
+    df = spark.createDataFrame([(int(i), int(t), *map(float, x)) for i, (t, x) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double").coalesce(1).cache()
+    steps = mixing.fit_rates(df, weights, 1.0)
+    rates = [np.array([r["r"] for r in df.orderBy("doc_id").select(mixing.rate(steps[:i]).alias("r")).collect()]) for i in range(len(steps) + 1)]
+    target = (n * p[:, 0]) @ p if weights is None else np.array(weights) / weights[0] * (n @ p)[0]
+    scale = np.maximum(target, 1e-3 * target.sum())
+    errors = [float(np.square(((n * r) @ p - target) / scale).sum()) for r in rates]
+    df.unpersist()
+    assert all((r >= 0).all() for r in rates) and all(y < x for x, y in itertools.pairwise(errors))
+    assert errors[-1] <= 1.05 * plain_least_squares(n, p, target) + 1e-6
 
 
 def test_mixing_edges(spark, awkward, nothing):
@@ -298,3 +329,5 @@ def test_mixing_edges(spark, awkward, nothing):
     assert mixing.mix(awkward, labels).count() == len(awkward_rows())
     assert mixing.mix(awkward, labels.limit(0)).count() == len(awkward_rows())
     assert mixing.mix(nothing, labels).count() == 0
+    out = mixing.mixing_stage(spark, awkward, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and mixing.mixing_stage(spark, nothing, "/root/testdata/sf0.001").count() == 0

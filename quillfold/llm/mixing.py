@@ -34,6 +34,7 @@ DOMAINS = ("clean", "low", "toxic")
 EPOCHS = 1.2
 MAX_LABELLED, FEATURES = 8000, 64
 MAX_STEPS, TOLERANCE = 40, 1e-4
+DAMPING = (1e-9, 1e-3, 1e-2, 0.1, 1.0)
 
 _MARKS = b".,;:!?()\"'"
 
@@ -163,11 +164,10 @@ def fit_rates(scored: DataFrame, weights: tuple[float, ...] | None = None, epoch
     """Steps of the projected gradient of the squared errors of the domains' totals, each error by its target's scale.
 
     In the metric of the documents' tokens a step takes the same from the rates of all documents of the same posterior.
-    The first try of a step weighs the errors by the inverse Gram matrix of the posteriors (by tokens, of the documents
-    whose rate isn't 0): it meets the targets but for the rates it would push below 0. A step that doesn't lessen the
-    error is halved, then the plain gradient is tried, as long as the last step's curvature suggests, then as long as is
-    safe; one that doesn't lessen it either isn't taken. So the last step is the best. A try sums a dozen numbers over all
-    documents; after MAX_STEPS tries targets that no rates meet may be missed by a little more than need be.
+    A step weighs the errors by the inverse Gram matrix of the posteriors (by tokens, of the documents whose rate isn't
+    0), so the first one meets the targets but for the rates it would push below 0. One that doesn't lessen the error is
+    damped towards the plain gradient; if no damping helps it isn't taken. So the last step is the best. A try sums a dozen
+    numbers over all documents; after MAX_STEPS tries targets that no rates meet may be missed by a little more than need be.
     """
     k = len(DOMAINS)
     p, tokens = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens")
@@ -184,23 +184,20 @@ def fit_rates(scored: DataFrame, weights: tuple[float, ...] | None = None, epoch
         return steps
     target = epochs * (gram[0] if weights is None else np.array(weights) / weights[0] * have[0])
     scale = np.maximum(target, 1e-3 * target.sum())
-    off, now, tries, before = lambda s: float(np.square((s - target) / scale).sum()), have, 0, None
+    off, now, tries, damped = lambda s: float(np.square((s - target) / scale).sum()), have, 0, 0
     while off(now) > TOLERANCE**2 and tries < MAX_STEPS:
-        error, slope = now - target, (now - target) / scale**2
-        longest = np.linalg.eigvalsh(gram / np.outer(scale, scale)).max()
-        full = np.linalg.solve(gram + 1e-9 * have.sum() * np.eye(k), error)
-        turn = (now - before) / scale if before is not None else np.zeros(k)
-        curved = turn @ (gram / np.outer(scale, scale)) @ turn
-        guess = slope * (turn @ turn) / curved if curved > 0 else slope / max(longest, 1e-30)
-        for step in (full, full / 2, guess, slope / max(longest, 1e-30), slope / max(4 * longest, 1e-30)):
+        curve = gram / np.outer(scale, scale)
+        longest = np.linalg.eigvalsh(curve).max()
+        for i in range(damped, len(DAMPING)):
+            step = np.linalg.solve(curve + DAMPING[i] * longest * np.eye(k), (now - target) / scale) / scale
             tries += 1
-            tried, curve = sums([*steps, tuple(step)])
+            tried, tried_gram = sums([*steps, tuple(step)])
             if off(tried) < off(now) * (1 - 1e-6):
                 break
         else:
             break  # as near as rates of 0 and more can come
         steps.append(tuple(step))
-        now, gram, before = tried, curve, now
+        now, gram, damped = tried, tried_gram, max(0, i - 1)
     return steps
 
 

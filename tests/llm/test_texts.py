@@ -243,11 +243,57 @@ def test_url_rules_and_classifier(spark, tables):
     assert urls.op2_urls(spark, tables).count() == 50
 
 
-def test_segmentation_is_the_cheapest_split(spark):
-    words = urls.Words({"free": 1.0, "bets": 1.5, "be": 1.2, "ts": 3.0}, 4.0, 4, {}, {}, 0.0, (0.0, 0.0))
+def test_segmentation_is_the_cheapest_split():
+    import itertools
+
+    words = urls.Words({"free": 1.0, "bets": 1.5, "be": 1.2, "ts": 3.0}, (4.0, 1.0), 4, {}, {}, 0.0)
     assert urls.segment("freebets", words) == ["free", "bets"]
     assert urls.segment("xxfree", words) == ["xx", "free"]
     assert urls.segment("", words) == []
+    rng = np.random.default_rng(4)
+    lexicon = {"".join(rng.choice(list("abc"), n)): float(rng.uniform(0.5, 6)) for n in rng.integers(1, 5, 30)}
+    words = urls.Words(lexicon, (3.0, 1.3), 4, {}, {}, 0.0)
+    cost = lambda parts: sum(min(lexicon.get(p, np.inf), 3.0 + 1.3 * len(p)) for p in parts)
+    for _ in range(200):
+        name = "".join(rng.choice(list("abcd"), rng.integers(1, 10)))
+        cuts = (c for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k))
+        best = min(cost([name[i:j] for i, j in itertools.pairwise((0, *c, len(name)))]) for c in cuts)
+        got = urls.segment(name, words)
+        assert "".join(got) == name and np.isclose(cost(got), best)
+
+
+def test_bayes_scores_match_counting(spark, tables):
+    words = urls.learn(spark.read.parquet(f"{tables}/pages.parquet"), spark.read.parquet(f"{tables}/documents.parquet").select("text"))
+    seen = [[w for u in us for w in urls.tokens(*u.split("/", 1), words)] for us in (urls.BLOCKED, urls.ALLOWED)]
+    every = set(seen[0]) | set(seen[1])
+    for host, path in (("freebigcasino.example", "/pills"), ("daily-science.example", "/article/library"), ("zzzz.example", "/")):
+        odds = np.log((len(urls.BLOCKED) + 1) / (len(urls.ALLOWED) + 2))
+        for w in urls.tokens(host, path, words):
+            if w in every:
+                odds += np.log((seen[0].count(w) + 1) / (len(seen[0]) + len(every) + 1)) - np.log((seen[1].count(w) + 1) / (len(seen[1]) + len(every) + 1))
+        assert np.isclose(urls.score(host, path, words), odds)
+
+
+#: Names of which none is in the labelled table.
+HELD_OUT = [
+    (True, "megacasinospins.example/play bigbonuspoker.example/x adultsexvideos.example/ cheapviagraorder.example/ fastcashloans.example/apply freepornclips.example/ spamclickads.example/ replicabags-sale.example/ "
+     "winjackpotslots.example/ warez-crack.example/ bannerads.example/click onlinebetting.example/casino"),
+    (False, "dailyscience.example/article villagelibrary.example/books cityweather.example/today gardenclub.example/meeting musicschool.example/course localhistory.example/guide familyhealth.example/advice "
+     "opensoftware.example/blog footballteam.example/results artmuseum.example/show freebooks.example/catalog farmmarket.example/season"),
+]
+
+
+def test_classifier_on_held_out_names(spark, tables):
+    words = urls.learn(spark.read.parquet(f"{tables}/pages.parquet"), spark.read.parquet(f"{tables}/documents.parquet").select("text"))
+    judged = [(bad, urls.score(u.split("/", 1)[0], u.split("/", 1)[1], words) > 0) for bad, names in HELD_OUT for u in names.split()]
+    assert sum(x == y for x, y in judged) >= 22 and not any(y for x, y in judged if not x)
+
+
+def test_urls_of_any_length(spark):
+    rows = [(1, "http://" + "cheappills" * 2000 + ".example/" + "x" * 50_000), (2, "http://" + "a/b-" * 20_000), (3, "://"), (4, "http://?q#f")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1]["verdict"] == "block" and got[1]["words"].startswith("cheap pills cheap pills") and len(got[1]["path"]) == 50_001
+    assert got[2]["host"] == "a" and got[3]["host"] == got[4]["host"] == "" and got[4]["path"] == ""
 
 
 def test_extraction(spark):

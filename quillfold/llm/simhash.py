@@ -31,6 +31,7 @@ SHINGLE, SEED, BUDGET = 4, 42, 4
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 CHUNK = 4096
 LEAF = 64
+HOT_SHARE = 1000
 
 
 def fingerprint(text: bytes) -> int:
@@ -153,19 +154,34 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """prints: (doc_id, fp). The component of every fingerprint: (fp, component_id, root), root being its smallest fingerprint."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """prints: (doc_id, fp). The component of every fingerprint: (fp, n, component_id, root), n being its rows and root the
+    component's smallest fingerprint."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp")))
     linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "root", "component_id")
-    return distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    whole = linked.join(least, "root").select("fp", "root", "component_id")
+    return distinct.join(whole, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def named(prints: DataFrame, of: DataFrame) -> DataFrame:
+    """Every row of prints with what its fingerprint has in `of` (fp, ...).
+
+    Fingerprints of more than one in HOT_SHARE rows, so HOT_SHARE at most, are looked up in a broadcast table and never
+    shuffled: a group of copies is no hot key, whatever its size. of: with a column n, the rows of each fingerprint.
+    """
+    total = of.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = of.where(F.col("n") * HOT_SHARE > total).drop("n").withColumn("hot", F.lit(True))
+    columns = [c for c in of.columns if c not in ("fp", "n")]
+    tried = prints.join(F.broadcast(hot), "fp", "left")
+    rest = tried.where("hot is null").drop("hot", *columns).join(of.where(F.col("n") * HOT_SHARE <= total).drop("n"), "fp")
+    return tried.where("hot").drop("hot").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
     prints = written(fingerprints(docs, id_col, text_col))
-    return prints.join(classes(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named(prints, written(classes(prints).drop("root"))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +202,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest"))
     first = prints.groupBy("fp").agg(F.min(order).alias("w"))
     # grouped by root, as component_id is null where no row has an id
-    stay = first.join(classes(prints.select("doc_id", "fp")), "fp").groupBy("root").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.digest").alias("digest")).distinct()
+    stay = first.join(classes(prints.select("doc_id", "fp")).drop("n"), "fp").groupBy("root").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.digest").alias("digest")).distinct()
     counts = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
     go = written(counts.join(stay.withColumn("stays", F.lit(True)), counts["doc_id"].eqNullSafe(stay["doc_id"]) & (counts["digest"] == stay["digest"]), "left").where("stays is null or n > 1").select(counts["doc_id"], counts["digest"], F.col("stays").isNotNull().alias("repeated")))
     lost = go.where("not repeated")

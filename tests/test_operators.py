@@ -63,7 +63,9 @@ def test_similarity_vectors(spark):
     assert x(S.jaccard, "", "") == 1 and x(S.dice, "a b", "b c") >= x(S.jaccard, "a b", "b c")
     assert x(S.tfidf_cosine, "a b", "a b") == 1 and x(S.affine_gap, "abc", "") == 0 and x(S.smith_waterman, "hello", "yellow") == 0.8
     assert x(S.affine_gap, "abc", "abd") == round(4 / 6, 4)
-    assert [S._metaphone(w) for w in ("Knight", "Phone", "Thin", "Sign")] == ["NT", "FN", "0N", "SN"]
+    words = {"Knight": "NT", "Phone": "FN", "Thin": "0N", "Sign": "SN", "Wright": "RT", "Judge": "JJ", "Science": "SNS", "School": "SKL", "Nation": "NXN", "Lamb": "LM", "Back": "BK", "Xavier": "SFR", "White": "WT", "Aesop": "ESP", "Match": "MX", "": ""}
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", S.metaphone(F.col("w")).alias("m")).collect()
+    assert {r["w"]: r["m"] for r in got} == words
 
 
 LOG = "seq long, op string, target string, operand map<string,string>, agent string, ts timestamp, branch string, client_event_id string"

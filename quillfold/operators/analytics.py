@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions.values import as_text, leading_number, predicate
+from quillfold.operators.ordered import lagged, running
 
 
 def metric(name: str, column: str | None = None, where: tuple | None = None) -> Column:
@@ -32,6 +36,17 @@ def formula_aggregates(values: DataFrame, key: str, column: str) -> DataFrame:
     return values.groupBy(key).agg(F.sum(x).alias("sum"), F.avg(x).alias("avg"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x != 0).alias("count"))
 
 
+def custom_aggregate(fn: Callable[[pd.Series], float], kind: str = "double"):
+    """A function of a Series as an aggregate of a column, beside the built-in ones: `custom_aggregate(f)("x")` in agg.
+    A group comes to one task whole, so it is for groups of bounded size."""
+
+    @F.pandas_udf(kind)
+    def aggregate(values: pd.Series) -> float:
+        return fn(values)
+
+    return aggregate
+
+
 def z_scores(records: DataFrame, group: str, column: str, limit: float = 1.5, least: int = 3) -> DataFrame:
     """Each record's distance from its group's mean in population deviations; groups of fewer than `least` have none.
 
@@ -45,8 +60,9 @@ def z_scores(records: DataFrame, group: str, column: str, limit: float = 1.5, le
 
 def runs(log: DataFrame, by: str, what: str, order: list[str]) -> DataFrame:
     """Consecutive equal values of `what` as runs: (by, run, what, n, first, last)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = log.withColumn("_new", F.when(F.lag(what).over(w).eqNullSafe(F.col(what)) & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("run", F.sum("_new").over(w))
+    rows = lagged(log, [by], order, [what], "_p_")
+    rows = rows.withColumn("_new", F.when(~F.col("_first") & F.col(f"_p_{what}").eqNullSafe(F.col(what)), 0).otherwise(1))
+    rows = running(rows, [by], order, "_new", "run")
     return rows.groupBy(by, "run", what).agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
@@ -59,14 +75,20 @@ def trajectory(log: DataFrame, by: str, what: str, order: list[str]) -> DataFram
 
 def intervals(log: DataFrame, by: str, ts: str, order: list[str]) -> DataFrame:
     """Seconds since the key's event before."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return log.withColumn("gap", F.unix_seconds(F.col(ts)) - F.unix_seconds(F.lag(ts).over(w)))
+    rows = lagged(log, [by], order, [ts], "_p_")
+    return rows.withColumn("gap", F.unix_seconds(F.col(ts)) - F.unix_seconds(F.col(f"_p_{ts}"))).drop(f"_p_{ts}", "_first")
 
 
 def most_in_hour(log: DataFrame, by: str, ts: str) -> DataFrame:
-    """The most events of each key in any hour that ends with one of them."""
-    w = Window.partitionBy(by).orderBy(F.unix_seconds(F.col(ts))).rangeBetween(-3600, 0)
-    return log.select(by, ts).withColumn("n", F.count("*").over(w)).groupBy(by).agg(F.max("n").alias("most_in_hour"))
+    """The most events of each key in any hour that ends with one of them.
+
+    Days are counted apart; an event of the last hour of a day is seen from the next day too, but not counted from there.
+    """
+    t = F.unix_seconds(F.col(ts))
+    rows = log.select(by, t.alias("_t"), F.explode(F.array_distinct(F.array(F.floor(t / 86400), F.floor((t + 3600) / 86400)))).alias("_day"))
+    w = Window.partitionBy(by, "_day").orderBy("_t").rangeBetween(-3600, 0)
+    counted = rows.withColumn("n", F.count("*").over(w)).where(F.floor(F.col("_t") / 86400) == F.col("_day"))
+    return counted.groupBy(by).agg(F.max("n").alias("most_in_hour"))
 
 
 def cadence(log: DataFrame, by: str, ts: str, order: list[str], now) -> DataFrame:
@@ -77,8 +99,10 @@ def cadence(log: DataFrame, by: str, ts: str, order: list[str], now) -> DataFram
     """
     spaced = intervals(log, by, ts, order)
     sizes = spaced.groupBy(by).agg(F.count("*").alias("n"), F.count("gap").alias("n_gaps"), F.max(ts).alias("last_ts"))
-    ranked = spaced.where("gap is not null").select(by, "gap", F.row_number().over(Window.partitionBy(by).orderBy("gap")).alias("_r"))
-    middle = ranked.join(sizes.select(by, (F.floor(F.col("n_gaps") / 2) + 1).alias("_r")), [by, "_r"]).select(by, F.col("gap").alias("median"))
+    counts = spaced.where("gap is not null").groupBy(by, "gap").agg(F.count("*").alias("_k"))  # equal gaps are one row
+    ranked = counts.select(by, "gap", "_k", F.sum("_k").over(Window.partitionBy(by).orderBy("gap")).alias("_r"))
+    half = sizes.select(by, (F.floor(F.col("n_gaps") / 2) + 1).alias("_half"))
+    middle = ranked.join(half, by).where("_half <= _r and _half > _r - _k").select(by, F.col("gap").alias("median"))
     close = spaced.join(middle, by).groupBy(by).agg(F.max("median").alias("median"), F.count_if(F.abs(F.col("gap") - F.col("median")) <= 0.2 * F.col("median")).alias("_near"))
     rows = sizes.join(close, by, "left").withColumn("near", F.col("_near") / F.col("n_gaps")).join(most_in_hour(log, by, ts), by)
     kind = (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions import similarity as S
-from quillfold.operators.graph import components
+from quillfold.operators.graph import components, settled
 
 
 def key_blocks(records: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
@@ -43,7 +43,7 @@ def sorted_neighbourhood(records: DataFrame, fields: list[str], window: int = 3,
     key = F.concat_ws("|", *(S.fingerprint(F.col(f)) for f in fields))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = records.select(F.col(id_col).alias("_id"), key.alias("_key")).repartitionByRange(n, "_key", "_id").withColumn("_p", F.spark_partition_id())
-    ranged = ranged.persist()  # range bounds are sampled: the parts must not be drawn twice
+    ranged = settled(ranged)  # range bounds are sampled: the parts must not be drawn twice
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a partition
     inside = Window.partitionBy("_p").orderBy("_key", "_id")
@@ -71,17 +71,28 @@ def lsh_pairs(records: DataFrame, fields: list[str], hashes: int = 64, bands: in
     return banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x._id") < F.col("y._id"))).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
 
 
-def canopies(records: DataFrame, field_: str, loose: float = 0.3, tight: float = 0.7, id_col: str = "id", block: int = 1) -> DataFrame:
-    """(id, canopy): within blocks of records that share a word, records as near as `loose` to the block's first one.
+def canopies(records: DataFrame, field_: str, loose: float = 0.3, tight: float = 0.7, id_col: str = "id", rounds: int = 20) -> DataFrame:
+    """(id, canopy): records as near as `loose` to a canopy's founder that share a word with it; every record has one.
 
-    A record as near as `tight` founds no canopy of its own. Blocks take the place of one greedy pass over all records,
-    which no cluster can share; within a block the order of ids decides.
+    Round by round, of the records without canopy the smallest id of each word founds one; founders as near as `tight` to
+    a smaller one of the round give way to it. Rounds take the place of one greedy pass over all records, which no cluster
+    can share. What has no canopy after the last round founds its own. Records without words are alone.
     """
-    words = records.select(F.col(id_col).alias("_id"), F.col(field_).alias("_t"), F.explode(F.array_distinct(S.tokens(F.col(field_)))).alias("_w"))
-    heads = words.groupBy("_w").agg(F.min_by("_t", "_id").alias("_head"), F.min("_id").alias("canopy"))
-    near = words.join(heads, "_w").withColumn("_s", S.jaccard(F.col("_t"), F.col("_head")))
-    own = near.where((F.col("_s") >= tight) & (F.col("canopy") < F.col("_id"))).select(F.col("_id").alias("canopy")).distinct()
-    return near.where(F.col("_s") >= loose).join(own, "canopy", "left_anti").select(F.col("_id").alias("id"), "canopy").distinct()
+    tokens = F.array_distinct(S.tokens(F.col(field_)))
+    words = settled(records.select(F.col(id_col).alias("_id"), F.col(field_).alias("_t"), F.explode_outer(tokens).alias("_w")))
+    open_, found = words, None
+    for _ in range(rounds):
+        heads = open_.where("_w is not null").groupBy("_w").agg(F.min_by("_t", "_id").alias("_head"), F.min("_id").alias("canopy"))
+        near = words.join(heads, "_w").select("_id", "canopy", S.jaccard(F.col("_t"), F.col("_head")).alias("_s"))
+        founders = heads.select(F.col("canopy").alias("_id")).distinct()
+        way = near.where((F.col("_s") >= tight) & (F.col("canopy") < F.col("_id"))).join(founders, "_id", "left_semi").select(F.col("_id").alias("canopy")).distinct()
+        new = settled(near.where(F.col("_s") >= loose).join(way, "canopy", "left_anti").select(F.col("_id").alias("id"), "canopy").distinct())
+        found = new if found is None else found.unionByName(new)
+        open_ = settled(open_.join(new.select(F.col("id").alias("_id")), "_id", "left_anti"))
+        if open_.where("_w is not null").isEmpty():
+            break
+    rest = open_.select(F.col("_id").alias("id"), F.col("_id").alias("canopy"))
+    return found.unionByName(rest).distinct()
 
 
 def union_pairs(*rules: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARAGRAPH, SENTENCE, CLAUSE, LONGEST = 20, 8, 12, 600
@@ -55,6 +55,12 @@ def spans(docs: DataFrame, tier: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def parents(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Each inner span with the outer span that holds its start: a join within the document."""
-    o = outer.select("doc_id", F.col("n").alias("parent"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    return inner.join(o, "doc_id").where((F.col("start") >= F.col("_a")) & (F.col("start") < F.col("_b"))).drop("_a", "_b")
+    """Each inner span with the outer span that holds its start: the last outer one that began before it, found in one
+    pass over both in order. Outer spans don't overlap."""
+    rest = [c for c in inner.columns if c not in ("doc_id", "start")]
+    empty = F.lit(None).cast(inner.select(F.struct(*rest)).schema[0].dataType)
+    o = outer.select("doc_id", "start", F.lit(0).alias("_side"), F.struct(F.col("n").alias("parent"), F.col("end").alias("to")).alias("_o"), empty.alias("_i"))
+    i = inner.select("doc_id", "start", F.lit(1).alias("_side"), F.lit(None).cast(o.schema["_o"].dataType).alias("_o"), F.struct(*rest).alias("_i"))
+    w = Window.partitionBy("doc_id").orderBy("start", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = o.unionByName(i).withColumn("_o", F.last("_o", ignorenulls=True).over(w)).where((F.col("_side") == 1) & (F.col("start") < F.col("_o.to")))
+    return rows.select(*(F.col(c) if c in ("doc_id", "start") else F.col(f"_i.{c}") for c in inner.columns), "_o.parent")

@@ -47,6 +47,30 @@ def resolve(long: DataFrame, field: str, ids: DataFrame, delimiter: str | None =
     return matched, refs.join(ids, refs["value"] == ids["id"], "left_anti")
 
 
+def keyed_events(long: DataFrame, prefix: str = "import", least: float = 0.5) -> DataFrame:
+    """Keyed collections as events (op, target, field, value): INS of every record with a row a field; CON of every
+    reference to a record of another or the same collection (field is the edge's type, value its target); DEF of each
+    reference field's type, `link`; DEF of every other field but the id.
+
+    Fields of which at least a share of `least` values are ids of a collection are references to it; of several the one
+    with most. Records without an id field keep their name in `record`.
+    """
+    ids = settled(id_fields(long))
+    found = references(long, ids).where(F.col("share") >= least)
+    links = settled(found.groupBy("collection", "field").agg(F.max_by("target", F.struct("n", "target")).alias("to")))  # a row a field
+    i = ids.select("collection", F.col("field").alias("id_field"))
+    known = long.join(F.broadcast(i), "collection").where("field = id_field").select("collection", "record", F.col("value").alias("id"))
+    rows = long.join(known, ["collection", "record"], "left").withColumn("target", F.concat_ws(".", F.lit(prefix), "collection", F.coalesce("id", "record")))
+    rows = rows.join(F.broadcast(links), ["collection", "field"], "left").join(F.broadcast(i), "collection", "left")
+    event = lambda df, op, field, value: df.select(F.lit(op).alias("op"), "target", field.alias("field"), value.alias("value"))
+    ends = known.select(F.col("collection").alias("to"), F.col("id").alias("value"))
+    con = rows.where("to is not null").join(ends, ["to", "value"], "left_semi")
+    types = links.select(F.concat_ws(".", F.lit(prefix), "collection", F.lit("_schema"), "field", F.lit("type")).alias("target"), F.concat_ws(".", F.lit(prefix), "to").alias("value"))
+    out = event(rows, "INS", F.col("field"), F.col("value"))
+    out = out.unionByName(event(con, "CON", F.col("field"), F.concat_ws(".", F.lit(prefix), "to", "value"))).unionByName(event(types, "DEF", F.lit("link"), F.col("value")))
+    return out.unionByName(event(rows.where("to is null and not (field <=> id_field)"), "DEF", F.col("field"), F.col("value")))
+
+
 def co_occurrence(items: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
     """Unordered pairs of items that groups hold together, with the number of groups. items: a row for each member."""
     one = items.select(F.col(group).alias("_g"), F.col(item).alias("_i")).where("_i is not null").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions import paths
+from quillfold.operators.ordered import lagged, running
 
 #: Operators that replace the whole value; DEF merges fields into it.
 REPLACES = ("INS", "SEG", "EVA")
@@ -85,10 +86,20 @@ def resolve(rows: DataFrame, alias_map: DataFrame, column: str = "target") -> Da
     return rows.join(a, rows[column] == a["_a"], "left").withColumn(column, F.coalesce("canonical", column)).drop("_a", "canonical")
 
 
-def no_ops(log: DataFrame, field: str, value: str, by: list[str]) -> DataFrame:
-    """Marks events that set a field to what it is already."""
-    w = Window.partitionBy(*by).orderBy("seq")
-    return log.withColumn("no_op", F.coalesce(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), F.lit(False)))
+def no_ops(log: DataFrame) -> DataFrame:
+    """(seq, target, no_op) of DEF events: whether every field they set had that value already.
+
+    A field has the value of its last write since the target's value was last replaced; a field or target that wasn't
+    there changes. An empty operand changes nothing that exists.
+    """
+    writes = log.where(F.col("op").isin(*WRITES)).select("seq", "op", "target", "operand", F.col("op").isin(*REPLACES).cast("int").alias("_r"))
+    since = running(writes, ["target"], ["seq"], "_r", "_epoch")
+    fields = since.select("seq", "op", "target", "_epoch", F.explode("operand").alias("field", "value"))
+    before = lagged(fields, ["target", "_epoch", "field"], ["seq"], ["value"], "_p_").where("op = 'DEF'")
+    set_ = before.groupBy("target", "seq").agg(F.min(~F.col("_first") & F.col("value").eqNullSafe(F.col("_p_value"))).alias("no_op"))
+    first = writes.groupBy("target").agg(F.min("seq").alias("_made"))
+    empty = writes.where((F.col("op") == "DEF") & (F.coalesce(F.size("operand"), F.lit(0)) < 1)).join(first, "target").select("target", "seq", (F.col("seq") > F.col("_made")).alias("no_op"))
+    return set_.unionByName(empty).select("seq", "target", "no_op")
 
 
 def null_states(log: DataFrame) -> DataFrame:

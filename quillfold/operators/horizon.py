@@ -54,25 +54,6 @@ def nearby(records: DataFrame, traits: list[str], key: str, top: int = 10) -> Da
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).select(F.col("_k").alias(key), "other", "shared", distance.alias("distance"))
 
 
-def nearby_rare(records: DataFrame, traits: list[str], key: str, top: int = 10, rare: int = 200) -> DataFrame:
-    """Rows of `nearby`, of the pairs that share a trait which at most `rare` records have; other pairs are left out.
-
-    A trait that more than `rare` records have says little and would pair them all: it doesn't make a pair, but counts
-    for pairs that a rarer trait makes. distance = max(1, traits - shared + 1).
-    """
-    entries = F.array(*(F.struct(F.lit(t).alias("t"), F.col(t).cast("string").alias("v")) for t in traits))
-    long = records.select(F.col(key).alias("_k"), F.explode(entries).alias("e")).select("_k", "e.t", "e.v").where("v is not null")
-    uncommon = long.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("t", "v")
-    chosen = long.join(uncommon, ["t", "v"])
-    pairs = chosen.alias("x").join(chosen.alias("y"), ["t", "v"]).where("x._k <> y._k").select(F.col("x._k").alias("a"), F.col("y._k").alias("b")).distinct()
-    full = records.select(F.col(key).alias("_k"), F.transform(entries, lambda e: F.when(e["v"].isNotNull(), F.concat_ws("=", e["t"], e["v"]))).alias("_e"))
-    rows = pairs.join(full.select(F.col("_k").alias("a"), F.col("_e").alias("_x")), "a").join(full.select(F.col("_k").alias("b"), F.col("_e").alias("_y")), "b")
-    shared = F.size(F.filter(F.array_intersect("_x", "_y"), lambda e: e.isNotNull()))
-    rows = rows.select("a", "b", shared.alias("shared"), F.greatest(F.lit(1), F.lit(len(traits)) - shared + 1).alias("distance"))
-    w = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).select(F.col("a").alias(key), F.col("b").alias("other"), "shared", "distance")
-
-
 def governance(state: DataFrame, registrations: DataFrame) -> DataFrame:
     """registrations: (target, rule). Each target with the nearest registration at it or above it."""
     t = F.col("target")

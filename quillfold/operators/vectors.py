@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +51,17 @@ def row_cosine(records: DataFrame, columns: list[str], focal: dict[str, float])
     """Cosine of each record's numeric fields with those of one record; missing numbers are 0."""
     row = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns))
     return records.withColumn("score", cosine(row, F.array(*(F.lit(float(focal.get(c, 0.0))) for c in columns))))
+
+
+def aligned(vectors: DataFrame, matrix: list[list[float]], vector: str = "embedding") -> DataFrame:
+    """Vectors times a matrix (a row for each of their dimensions), of length 1 again; without length they stay as they are.
+    The matrix is as large as a vector is long, whatever the number of vectors."""
+    m = np.array(matrix, dtype=np.float64)
+
+    @F.pandas_udf("array<double>")
+    def turn(v: pd.Series) -> pd.Series:
+        x = np.array([np.asarray(a, np.float64) for a in v]).reshape(-1, len(m)) @ m
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(x, norm, out=x, where=norm > 0)))
+
+    return vectors.withColumn(vector, turn(F.col(vector)))

@@ -58,14 +58,15 @@ def coerced(cell: Column) -> Column:
 def read_delimited(spark: SparkSession, path: str, prefix: str = "app.import", delimiter: str | None = None) -> DataFrame:
     """A CSV or TSV file as INS events. Without a delimiter, the header line's most frequent one of , ; tab and | is taken.
 
-    Ids are the rows' places, rec1 and so on, padded to equal width. They are numbered by file position: each
-    partition's rows are counted first, so no task sees the whole file.
+    Ids are the rows' places, rec1 and so on, padded to equal width. They are numbered by file position: each partition's
+    rows are counted first. The file is split among tasks unless a quoted field has line breaks, which one pass over its
+    lines tells; such a file can't be cut at a line, so one task reads it.
     """
     if delimiter is None:
         head = spark.read.text(path).limit(1).collect()
         line = head[0][0] if head else ""
         delimiter = max(",;\t|", key=line.count)
-    rows = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, escape='"', inferSchema=False)
+    rows = spark.read.csv(path, header=True, sep=delimiter, multiLine=_broken(spark, path), escape='"', inferSchema=False)
     fields = rows.columns
     values = F.map_filter(F.map_from_arrays(F.array(*(F.lit(c) for c in fields)), F.array(*(coerced(F.col(f"`{c}`")) for c in fields))), lambda k, v: v.isNotNull())
     at = F.monotonically_increasing_id()
@@ -80,16 +81,28 @@ def read_delimited(spark: SparkSession, path: str, prefix: str = "app.import", d
     return placed.select(seq.alias("seq"), F.lit("INS").alias("op"), F.concat(F.lit(f"{prefix}.rec"), F.lpad(seq.cast("string"), width, "0")).alias("target"), "operand")
 
 
+def _broken(spark: SparkSession, path: str) -> bool:
+    """Whether quotes stay open at a line's end anywhere in a delimited file."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_events(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """A delimited file with the columns op, target, operand (JSON) and others of the log; bad operands have none."""
-    rows = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, escape='"', inferSchema=False)
+    rows = spark.read.csv(path, header=True, sep=delimiter, multiLine=_broken(spark, path), escape='"', inferSchema=False)
     operand = F.from_json("operand", "map<string,string>") if "operand" in rows.columns else F.lit(None).cast("map<string,string>")
     return rows.withColumn("operand", operand).where(F.col("op").isin(*OPERATORS) & F.col("target").isNotNull())
 
 
-def read_json(spark: SparkSession, path: str, prefix: str = "app.import") -> DataFrame:
-    """A JSON file of `{collection: [records]}` or lines of records, as (target, value MAP); ids are `id` or a hash."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("j"))
+def read_json(spark: SparkSession, path: str, prefix: str = "app.import", lines: bool = False) -> DataFrame:
+    """A JSON file of `{collection: [records]}` or `[records]`, as (target, value MAP); ids are `id` or a hash.
+
+    One JSON document can't be split, so one task reads each file. With lines, every line is a document or a record of
+    its own, and large files are split.
+    """
+    text = spark.read.text(path, wholetext=not lines).select(F.col("value").alias("j"))
+    if lines:
+        text = text.select(F.when(F.ltrim("j").startswith("{") & F.from_json("j", "map<string,array<map<string,string>>>").isNull(), F.concat(F.lit("["), "j", F.lit("]"))).otherwise(F.col("j")).alias("j"))
     keyed = text.select(F.explode(F.from_json("j", "map<string,array<map<string,string>>>")).alias("c", "rs")).select("c", F.explode("rs").alias("value"))
     plain = text.select(F.lit("records").alias("c"), F.explode(F.from_json("j", "array<map<string,string>>")).alias("value"))
     rows = keyed.unionByName(plain)

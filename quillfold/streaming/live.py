@@ -30,15 +30,17 @@ def deliver(events: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int], N
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def once_each(events: DataFrame, key: str = "client_event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Each client id once; ids are remembered as long as events may be late."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def once_each(events: DataFrame, key: str = "client_event_id", ts: str = "ts", late: str | None = "1 hour") -> DataFrame:
+    """Each client id once; ids are remembered as long as events may be late. None: for ever, and no event is too late;
+    the state then grows with the ids."""
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if late else events.dropDuplicates([key])
 
 
-def counts_per_window(events: DataFrame, by: str, ts: str, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Tumbling windows, or sliding ones, of event time."""
+def counts_per_window(events: DataFrame, by: str, ts: str, width: str = "1 hour", slide: str | None = None, late: str | None = "1 hour") -> DataFrame:
+    """Tumbling windows, or sliding ones, of event time. late None: no event is too late, and every window is kept."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return events.withWatermark(ts, late).groupBy(w, by).agg(F.count("*").alias("n")).select(by, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
+    events = events.withWatermark(ts, late) if late else events
+    return events.groupBy(w, by).agg(F.count("*").alias("n")).select(by, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
 def sessions(events: DataFrame, by: str, ts: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -110,10 +110,14 @@ def audit_changes(spark, d):
     return records.audit_trail(read(spark, d, "events"), F.col("event_type"), ["user_id"], ["event_id"]).select("event_id", "changed_to", "previous")
 
 
-@book("SELECT event_id, coalesce(lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1, false) AS no_op FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@book(
+    """WITH w AS (SELECT event_id, user_id, event_type, event_id % 2 AS f FROM events), p AS (SELECT w.event_id, w.event_type, arg_max(o.event_type, o.event_id) AS before, count(o.event_id) AS n
+    FROM w LEFT JOIN w o ON o.user_id = w.user_id AND o.f = w.f AND o.event_id < w.event_id GROUP BY 1, 2) SELECT event_id, n > 0 AND event_type = before AS no_op FROM p"""
+)
 def no_op_events(spark, d):
-    e = read(spark, d, "events").withColumn("seq", F.col("event_id"))
-    return fold.no_ops(e, "event_type", "event_type", ["user_id"]).select("event_id", "no_op")
+    e = read(spark, d, "events")
+    log = e.select(F.col("event_id").alias("seq"), F.lit("DEF").alias("op"), F.col("user_id").alias("target"), F.create_map(F.concat(F.lit("f"), F.col("event_id") % 2), F.col("event_type")).alias("operand"))
+    return fold.no_ops(log).select(F.col("seq").alias("event_id"), "no_op")
 
 
 @book(
@@ -198,11 +202,14 @@ def entity_classes(spark, d):
     return out.select("user_id", "collection", "class", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
 
 
-@book()
+@book(
+    """WITH x AS (SELECT event_id, user_id, event_type = 'error' AS c, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM events),
+    y AS (SELECT a.event_id, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.event_id <= a.event_id AND b.event_id > coalesce(a.last, -1)) AS streak FROM x a) SELECT event_id, streak, streak > 0 AND streak % 5 = 0 AS fires FROM y"""
+)
 def stability(spark, d):
     e = read(spark, d, "events")
     out = analytics.stability_streaks(e, "user_id", "event_id", F.col("event_type") == "error", 5)
-    return out.select("event_id", "streak", "fires")
+    return out.select("event_id", F.col("streak").cast("long").alias("streak"), "fires")
 
 
 QUERIES, ORACLE = book.queries, book.sql

@@ -22,9 +22,9 @@ def sql_filter_topk(spark, d):
 
 @book("SELECT target, depth FROM (SELECT 'app.orders.' || o_orderkey AS target, 3 AS depth, o_orderstatus AS s, o_totalprice AS p FROM orders) WHERE s = 'F' AND p > 300000")
 def path_filter(spark, d):
-    state = collection(read(spark, d, "orders"), "orders", "o_orderkey")
-    hit = records.hierarchy(state, "app.orders").where(records.predicate(F.col("value")["o_orderstatus"], "equals", "f") & records.predicate(F.col("value")["o_totalprice"], "gt", 300000))
-    return hit.select("target", F.lit(3).alias("depth"))
+    # filtered as columns, so that the scan can do it, and made targets then
+    hit = records.select(read(spark, d, "orders"), ["o_orderkey"], [("o_orderstatus", "equals", "f"), ("o_totalprice", "gt", 300000)])
+    return records.hierarchy(collection(hit, "orders", "o_orderkey"), "app.orders").select("target", F.lit(3).alias("depth"))
 
 
 @book("SELECT p_partkey, p_name FROM part WHERE lower(p_brand) = 'brand#2' AND lower(p_type) = 'economy' ")
@@ -231,14 +231,18 @@ def sorted_neighbourhood(spark, d):
     return dedup.sorted_neighbourhood(read(spark, d, "customer").withColumnRenamed("c_custkey", "id"), ["c_mktsegment", "c_name"], 3)
 
 
-_NAMES = "SELECT DISTINCT p_name AS x FROM part"
-_PAIRS = f"WITH n AS ({_NAMES}) SELECT a.x AS a, b.x AS b, "
-_PAIRS_END = " FROM n a JOIN n b ON a.x < b.x AND substr(a.x, 1, 1) = substr(b.x, 1, 1)"
+#: Every name of a part whose key is divisible by 50, against all names.
+_PAIRS = "WITH n AS (SELECT DISTINCT p_name AS x FROM part), q AS (SELECT DISTINCT p_name AS x FROM part WHERE p_partkey % 50 = 0) SELECT a.x AS a, b.x AS b, "
+_PAIRS_END = " FROM q a JOIN n b ON a.x <> b.x"
+_BLOCKS = 16
 
 
 def _name_pairs(spark, d):
-    n = read(spark, d, "part").select(F.col("p_name").alias("x")).distinct().withColumn("k", F.substring("x", 1, 1))
-    return n.alias("l").join(n.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.x") < F.col("r.x"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
+    """The query set goes to every block of names, so each block meets it once."""
+    part = read(spark, d, "part")
+    names = part.select(F.col("p_name").alias("b")).distinct().withColumn("block", F.pmod(F.xxhash64("b"), F.lit(_BLOCKS)))
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_name").alias("a")).distinct().select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BLOCKS - 1).cast("long"))).alias("block"))
+    return asked.join(names, "block").where("a <> b").select("a", "b")
 
 
 @book(_PAIRS + "round(1 - levenshtein(lower(a.x), lower(b.x)) / greatest(length(a.x), length(b.x)), 9) AS score" + _PAIRS_END)
@@ -344,23 +348,17 @@ def redacted(spark, d):
     return records.redact(read(spark, d, "customer"), {"c_acctbal": "redacted", "c_nationkey": "hidden", "c_mktsegment": "hidden"})
 
 
-@book(
-    """WITH r AS (SELECT p_partkey AS k, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, p_name FROM part),
-    l AS (SELECT k, 'p_brand' AS t, p_brand AS v FROM r UNION ALL SELECT k, 'p_type', p_type FROM r UNION ALL SELECT k, 'p_size', p_size FROM r UNION ALL SELECT k, 'p_name', p_name FROM r),
-    u AS (SELECT t, v FROM l GROUP BY 1, 2 HAVING count(*) <= 60), c AS (SELECT l.* FROM l JOIN u USING (t, v)),
-    p AS (SELECT DISTINCT x.k AS a, y.k AS b FROM c x JOIN c y ON x.t = y.t AND x.v = y.v AND x.k <> y.k),
-    s AS (SELECT a, b, CAST((x.p_brand = y.p_brand)::INT + (x.p_type = y.p_type)::INT + (x.p_size = y.p_size)::INT + (x.p_name = y.p_name)::INT AS INTEGER) AS shared FROM p JOIN r x ON x.k = a JOIN r y ON y.k = b)
-    SELECT a AS p_partkey, b AS other, shared, greatest(1, 4 - shared + 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s) WHERE n <= 10"""
-)
+_SHARED = """WITH s AS (SELECT x.p_partkey AS a, y.p_partkey AS b, CAST((x.p_brand = y.p_brand)::INT + (x.p_type = y.p_type)::INT + (x.p_size = y.p_size)::INT + (x.p_name = y.p_name)::INT AS INTEGER) AS shared
+    FROM part x JOIN part y ON x.p_partkey <> y.p_partkey)
+    SELECT a AS p_partkey, b AS other, shared, greatest(1, 4 - shared + 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s WHERE shared > 0) WHERE n <= """
+
+
+@book(_SHARED + "3")
 def nearby_records(spark, d):
-    return horizon.nearby_rare(read(spark, d, "part"), ["p_brand", "p_type", "p_size", "p_name"], "p_partkey", 10, rare=60)
+    return horizon.nearby(read(spark, d, "part"), ["p_brand", "p_type", "p_size", "p_name"], "p_partkey", 3)
 
 
-@book(
-    """WITH s AS (SELECT x.p_partkey AS a, y.p_partkey AS b, CAST((x.p_brand = y.p_brand)::INT + (x.p_type = y.p_type)::INT + (x.p_size = y.p_size)::INT + (x.p_name = y.p_name)::INT AS INTEGER) AS shared
-    FROM part x JOIN part y ON x.p_partkey <> y.p_partkey)
-    SELECT a AS p_partkey, b AS other, shared, greatest(1, 4 - shared + 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s WHERE shared > 0) WHERE n <= 10"""
-)
+@book(_SHARED + "10")
 def nearby_records_all(spark, d):
     return horizon.nearby(read(spark, d, "part"), ["p_brand", "p_type", "p_size", "p_name"], "p_partkey", 10)
 

@@ -199,8 +199,10 @@ def expected(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     seen = model.emit.astype(np.float32)[codes]
     alpha, scales, beta = np.empty((len(flat), k), np.float32), np.empty(len(flat), np.float32), np.empty((len(flat), k), np.float32)
 
+    one = np.ones(k, np.float32)
+
     def scaled(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = a.sum(1)
+        total = a @ one  # twice as fast as sum
         return a / total[:, None], total
 
     cur = np.where(r.begins[r.order][:, None], model.first, model.move.mean(0)).astype(np.float32)
@@ -246,12 +248,13 @@ def expected(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
         return changed
 
     settle_back(r.ends, behind)
-    gamma = scaled(alpha * beta)[0]
-    stops = np.zeros(len(flat), bool)
-    stops[np.cumsum([len(s) for s in sequences], dtype=np.int64) - 1] = True
-    one, two = r.pos[:-1][~stops[:-1]], r.pos[1:][~stops[:-1]]
-    after = seen[two] * beta[two]
-    moves = (alpha[one] / ((alpha[one] @ move) * after).sum(1, keepdims=True)).T @ after if len(one) else np.zeros((k, k))
+    gamma, both = scaled(alpha * beta)
+    after = seen * beta / (scales * both)[:, None]  # what a move into here weighs
+    moves = np.zeros((k, k), np.float64)
+    for t, n in enumerate(r.live[1:].tolist()):
+        moves += alpha[r.begin[t] : r.begin[t] + n].T @ after[r.begin[t + 1] : r.begin[t + 1] + n]
+    inner = np.flatnonzero(~r.ends)
+    moves += alpha[r.last(inner)].T @ after[r.first(inner + 1)]
     by_class = np.stack([np.bincount(codes, gamma[:, j], c) for j in range(k)], 1)
     first = gamma[r.first(np.flatnonzero(r.begins))].sum(0)
     return np.concatenate([first, (moves * model.move).ravel(), by_class.ravel(), [np.log(scales, dtype=np.float64).sum()]])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions.values import as_text, leading_number, predicate
-from quillfold.operators.ordered import lagged, running
+from quillfold.operators.ordered import lagged
 
 
 def metric(name: str, column: str | None = None, where: tuple | None = None) -> Column:
@@ -59,11 +59,18 @@ def z_scores(records: DataFrame, group: str, column: str, limit: float = 1.5, le
 
 
 def runs(log: DataFrame, by: str, what: str, order: list[str]) -> DataFrame:
-    """Consecutive equal values of `what` as runs: (by, run, what, n, first, last)."""
-    rows = lagged(log, [by], order, [what], "_p_")
-    rows = rows.withColumn("_new", F.when(~F.col("_first") & F.col(f"_p_{what}").eqNullSafe(F.col(what)), 0).otherwise(1))
-    rows = running(rows, [by], order, "_new", "run")
-    return rows.groupBy(by, "run", what).agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+    """Consecutive equal values of `what` as runs: (by, run, what, n, first, last).
+
+    Runs are counted within a range of the order first; what goes on from the range before is number 0 there.
+    """
+    rows = lagged(log.select(*dict.fromkeys((by, what, *order))), [by], order, [what], "_p_", spans=True)
+    new = F.when(~F.col("_first") & F.col(f"_p_{what}").eqNullSafe(F.col(what)), 0).otherwise(1)
+    within = F.sum(new).over(Window.partitionBy(by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    parts = rows.withColumn("_run", within).groupBy(by, "_span", "_run", what).agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+    before = Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    known = parts.groupBy(by, "_span").agg(F.max("_run").alias("_runs")).select(by, "_span", F.coalesce(F.sum("_runs").over(before), F.lit(0)).alias("_known"))
+    numbered = parts.join(known, [by, "_span"]).withColumn("run", F.col("_known") + F.col("_run"))
+    return numbered.groupBy(by, "run", what).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def trajectory(log: DataFrame, by: str, what: str, order: list[str]) -> DataFrame:

@@ -23,15 +23,15 @@ def span(rows: DataFrame, column: str) -> Column:
     return F.lit(0).cast("long")
 
 
-def lagged(rows: DataFrame, by: list[str], order: list[str], what: list[str], prefix: str = "prev_") -> DataFrame:
-    """rows with the values of `what` in the key's row before, and `_first`, whether there is none."""
+def lagged(rows: DataFrame, by: list[str], order: list[str], what: list[str], prefix: str = "prev_", spans: bool = False) -> DataFrame:
+    """rows with the values of `what` in the key's row before, and `_first`, whether there is none; with `_span` if asked."""
     values = F.struct(*what)
     placed = rows.withColumn("_span", span(rows, order[0]))
     last = placed.groupBy(*by, "_span").agg(F.max_by(values, F.struct(*order)).alias("_last"))
     carried = last.select(*by, "_span", F.lag("_last").over(Window.partitionBy(*by).orderBy("_span")).alias("_carried"))
     w = Window.partitionBy(*by, "_span").orderBy(*order)
     out = placed.join(carried, [*by, "_span"], "left").withColumn("_before", F.coalesce(F.lag(values).over(w), "_carried"))
-    return out.select(*rows.columns, *(F.col(f"_before.{c}").alias(f"{prefix}{c}") for c in what), F.col("_before").isNull().alias("_first"))
+    return out.select(*rows.columns, *(F.col(f"_before.{c}").alias(f"{prefix}{c}") for c in what), F.col("_before").isNull().alias("_first"), *(["_span"] if spans else []))
 
 
 def running(rows: DataFrame, by: list[str], order: list[str], number: str, name: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillfold.plans import event_queries, log_queries, merge_queries, record_queries
+from quillfold.plans import event_queries, log_queries, merge_queries, record_queries, replica_queries
 
-MODULES = (record_queries, event_queries, log_queries, merge_queries)
+MODULES = (record_queries, event_queries, log_queries, merge_queries, replica_queries)
 
 
 def queries():

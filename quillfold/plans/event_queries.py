@@ -152,10 +152,18 @@ def divergence(spark, d):
     return worlds.divergence(_writes(spark, d)).select("seq", "sources")
 
 
-@book()
+@book(
+    f"""WITH {_W}, link AS (SELECT 's' || i AS source, 's' || (i % 20) AS head, i AS place, (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) FROM events) AS merged FROM range(20, 40) AS r(i)),
+    never AS (SELECT source AS entity, field, value FROM (SELECT *, row_number() OVER (PARTITION BY source, field ORDER BY ts DESC, seq DESC) AS n FROM w) WHERE n = 1),
+    always AS (SELECT head AS entity, field, value FROM (SELECT coalesce(l.head, w.source) AS head, field, value, row_number() OVER (PARTITION BY coalesce(l.head, w.source), field ORDER BY ts DESC, seq DESC) AS n FROM w LEFT JOIN link l USING (source)) WHERE n = 1),
+    past AS (SELECT head AS entity, field, value FROM (SELECT head, field, value, row_number() OVER (PARTITION BY head, field ORDER BY place DESC, ts DESC, seq DESC) AS n FROM w JOIN link USING (source) WHERE ts <= merged) WHERE n = 1),
+    own AS (SELECT * FROM never WHERE entity NOT IN (SELECT source FROM link))
+    SELECT 'never' AS world, * FROM never UNION ALL SELECT 'always', * FROM always
+    UNION ALL SELECT 'canonical', coalesce(own.entity, past.entity), coalesce(own.field, past.field), coalesce(own.value, past.value) FROM past FULL JOIN own ON past.entity = own.entity AND past.field = own.field"""
+)
 def three_worlds(spark, d):
     links = spark.createDataFrame([(f"s{i}", f"s{i % 20}", i) for i in range(20, 40)], "source string, into string, place int")
-    middle = read(spark, d, "events").agg(F.expr("percentile_approx(ts, 0.5)").alias("ts"))
+    middle = read(spark, d, "events").agg(F.timestamp_micros(F.expr("(unix_micros(min(ts)) + unix_micros(max(ts))) div 2")).alias("ts"))
     return worlds.worlds(_writes(spark, d), links.crossJoin(F.broadcast(middle)))
 
 
@@ -189,12 +197,36 @@ def events_per_day(spark, d):
     return read(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
-@book()
+def _level(rows: str, key: str) -> str:
+    return f"SELECT target, {key} AS k, sha256(string_agg(k || ':' || d, '|' ORDER BY k, d)) AS d, CAST(sum(n) AS BIGINT) AS n FROM ({rows}) GROUP BY target, {key}"
+
+
+_CHAIN = f"SELECT target, seq AS k, sha256(concat_ws('|', seq, op, agent, field, value)) AS d, 1 AS n FROM ({LOG})"
+for _key in ("k >> 10",) * 4 + ("k * 0",):
+    _CHAIN = _level(_CHAIN, _key)
+
+
+@book(f"SELECT target, d AS hash, n FROM ({_CHAIN})")
 def chained_hashes(spark, d):
     return fold.chain_hash(event_log(spark, d), ["seq", "op", "agent", "event_type", "value"])
 
 
-@book()
+@book(f"SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(target || ':' || d), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM ({_CHAIN})")
+def store_digest(spark, d):
+    return fold.store_fingerprint(chained_hashes(spark, d))
+
+
+@book(
+    f"""WITH g AS (SELECT user_id, value, {_SEC} AS t, {_SEC} - lag({_SEC}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+    a AS (SELECT user_id, count(*) AS n, avg(gap) AS m, stddev_samp(gap) AS sd, (min(t) + max(t)) / 2 AS half, stddev_samp(value) AS spread FROM g GROUP BY 1),
+    s AS (SELECT a.user_id, a.user_id % 4 AS collection, CASE WHEN any_value(a.n) >= 3 AND any_value(m) > 0 THEN greatest(0.0, 1 - any_value(sd) / any_value(m)) ELSE 0.0 END AS periodicity,
+    count(*) FILTER (WHERE t > half) / any_value(a.n) AS momentum, any_value(spread) AS spread FROM a JOIN g USING (user_id) GROUP BY a.user_id),
+    x AS (SELECT user_id, collection, unnest(['holon', 'protogon', 'emanon']) AS class, unnest([periodicity, momentum, spread]) AS v FROM s),
+    y AS (SELECT *, avg(v) OVER c AS lm, stddev_samp(v) OVER c AS ls, count(*) OVER c AS k, avg(v) OVER e AS gm, stddev_samp(v) OVER e AS gs FROM x WINDOW c AS (PARTITION BY collection, class), e AS (PARTITION BY class)),
+    z AS (SELECT *, least(1.0, k / 10) * coalesce((v - lm) / nullif(ls, 0), 0) + (1 - least(1.0, k / 10)) * coalesce((v - gm) / nullif(gs, 0), 0) AS score FROM y),
+    o AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM z WINDOW w AS (PARTITION BY user_id ORDER BY score DESC, class DESC))
+    SELECT user_id, collection, class, round(score, 6) AS score, round(CASE WHEN score > 0 THEN least(1.0, (score - second) / score) ELSE 0.0 END, 6) AS confidence FROM o WHERE place = 1"""
+)
 def entity_classes(spark, d):
     e = read(spark, d, "events").withColumn("collection", F.col("user_id") % 4)
     s = analytics.entity_signals(e, "user_id", "ts", "value", ["ts", "event_id"]).join(e.select("user_id", "collection").distinct(), "user_id")

@@ -174,6 +174,26 @@ def cohorts(records: DataFrame, traits: list[str], key: str, least: int = 2) ->
     return there.groupBy(*traits).agg(F.count_distinct(key).alias("members"), F.min(key).alias("first"), F.max(key).alias("last")).where(F.col("members") >= least).withColumn("cohort", digest)
 
 
+def crystallised(records: DataFrame, scope: str, traits: list[str], key: str, least: int = 2, known: DataFrame | None = None, deepest: int = 8) -> DataFrame:
+    """(target, scope, members, status): an entity below each scope for every group of its records with equal traits.
+
+    A group of at least so many members is `active`; an entity of known (target) whose group has fewer by now is `inert`
+    and keeps its name. Nothing is made deeper than `deepest`. Records without scope or a trait belong to no group.
+    """
+    from quillfold.functions import paths
+
+    there = records.where(~F.exists(F.array(F.col(scope).isNull(), *(F.col(t).isNull() for t in traits)), lambda x: x) & (paths.depth(F.col(scope)) < deepest))
+    groups = there.groupBy(F.col(scope).alias("scope"), *traits).agg(F.count_distinct(key).alias("members"))
+    digest = F.substring(F.sha2(F.concat_ws("|", *(F.col(t).cast("string") for t in traits)), 256), 1, 16)
+    rows = groups.select(F.concat("scope", F.lit("."), digest).alias("target"), "scope", "members")
+    if known is None:
+        return rows.where(F.col("members") >= least).withColumn("status", F.lit("active"))
+    out = rows.join(known.select("target", F.lit(True).alias("_known")).distinct(), "target", "full_outer")
+    status = F.when(F.col("members") >= least, "active").when(F.col("_known"), "inert")
+    out = out.withColumn("status", status).where("status is not null")
+    return out.select("target", F.coalesce("scope", paths.parent(F.col("target"))).alias("scope"), F.coalesce("members", F.lit(0)).alias("members"), "status")
+
+
 def entity_signals(log: DataFrame, by: str, ts: str, value: str, order: list[str]) -> DataFrame:
     """periodicity (1 - variation of the gaps), momentum (share of the events in the later half of the time), spread."""
     gaps = intervals(log, by, ts, order)

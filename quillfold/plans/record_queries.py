@@ -321,7 +321,13 @@ def cosine_topk(spark, d):
     return vectors.top_k(e, query, 20).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@book()
+@book(
+    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+    m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2), c AS (SELECT CAST(label AS VARCHAR) AS label, list(x ORDER BY i) AS v FROM m GROUP BY 1),
+    s AS (SELECT vec_id, c.label AS best, list_cosine_similarity(e.v, c.v) AS score FROM e, c),
+    r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, best DESC))
+    SELECT vec_id, best, round(score, 6) AS score, coalesce(score - second, 1.0) < 0.02 AS boundary FROM r WHERE place = 1"""
+)
 def centroid_classify(spark, d):
     e = read(spark, d, "embeddings")
     return vectors.classify(e, vectors.centroids(e, "label"), "label").select("vec_id", "best", F.round("score", 6).alias("score"), "boundary")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quillfold.functions import paths
-from quillfold.operators import fold, horizon, sync, worlds
+from quillfold.operators import analytics, fold, horizon, sync, worlds
 from quillfold.plans.event_queries import _SEC, _W, LOG, _writes, event_log
 from quillfold.plans.registry import Book, read
 
@@ -180,4 +180,14 @@ def divergence_neighbours(spark, d):
     return out.select("entity", "field", *(F.unix_micros(c).alias(n) for c, n in (("ts", "moment"), ("previous", "previous"), ("next", "next"))))
 
 
+@book(
+    """WITH g AS (SELECT 'app.' || p_brand AS scope, p_type, count(*) AS members FROM part GROUP BY 1, 2)
+    SELECT scope || '.' || substr(sha256(p_type), 1, 16) AS target, scope, members, CASE WHEN members >= 4 THEN 'active' ELSE 'inert' END AS status FROM g WHERE members >= 2"""
+)
+def crystallised_parts(spark, d):
+    parts = read(spark, d, "part").withColumn("scope", F.concat(F.lit("app."), "p_brand"))
+    earlier = analytics.crystallised(parts, "scope", ["p_type"], "p_partkey", 2)
+    return analytics.crystallised(parts, "scope", ["p_type"], "p_partkey", 4, earlier)
+
+
 QUERIES, ORACLE = book.queries, book.sql

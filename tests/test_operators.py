@@ -340,3 +340,13 @@ def test_entry_module(spark):
 
     assert e.entry(spark).count() == 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_crystallised(spark):
+    rows = spark.createDataFrame([("a.b", "x", 1), ("a.b", "x", 2), ("a.b", "y", 3), (None, "x", 4), ("a.b", None, 5), ("a.c", "x", 6), ("a.c", "x", 6), ("a.b.c.d.e.f.g.h", "x", 7), ("a.b.c.d.e.f.g.h", "x", 8)], "scope string, trait string, key int")
+    now = analytics.crystallised(rows, "scope", ["trait"], "key")
+    assert [(r["scope"], r["members"], r["status"]) for r in now.collect()] == [("a.b", 2, "active")]
+    fewer = analytics.crystallised(rows.where("key <> 2"), "scope", ["trait"], "key", known=now).collect()
+    assert [(r["scope"], r["members"], r["status"]) for r in fewer] == [("a.b", 1, "inert")]
+    gone = analytics.crystallised(rows.where("false"), "scope", ["trait"], "key", known=now).collect()
+    assert [(r["scope"], r["members"], r["status"]) for r in gone] == [("a.b", 0, "inert")]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions import paths
+from quillfold.operators.graph import settled
 
 
 def figures(state: DataFrame, record_depth: int = 3, scalar: str = "value") -> DataFrame:
@@ -36,22 +37,37 @@ def ancestry(state: DataFrame) -> DataFrame:
 def nearby(records: DataFrame, traits: list[str], key: str, top: int = 10) -> DataFrame:
     """(key, other, shared, distance): for each record the `top` others that share most traits; ties go to smaller keys.
 
-    All records are compared, however common their traits, but without pairs: the records that have the same values of a
-    set of traits are kept as the top + 1 smallest keys, for every set. Whoever is left out of the list of all traits that
-    two records share has `top` records before it, so the lists hold every answer. A record makes 2^traits - 1 rows, so
-    traits are few. Null is no trait, records without key are nobody's. distance = max(1, traits - shared + 1).
+    All records are compared, however common their traits, but without pairs. Records with the same values of all traits
+    are one class; the records that have the same values of a set of traits are kept as the top + 1 smallest keys, for
+    every set. Whoever is left out of the list of all traits that two records share has `top` records before it, so the
+    lists hold every answer. A class makes 2^traits - 1 rows, so traits are few; its records share its answer but for
+    themselves. Null is no trait, records without key are nobody's. distance = max(1, traits - shared + 1).
     """
-    sets = [[t for i, t in enumerate(traits) if n >> i & 1] for n in range(1, 1 << len(traits))]
-    member = lambda n, s: F.struct(F.lit(n).alias("n"), F.lit(len(s)).alias("shared"), F.struct(*(F.col(t).cast("string").alias(f"v{i}") if t in s else F.lit(None).cast("string").alias(f"v{i}") for i, t in enumerate(traits))).alias("v"), reduce(lambda x, y: x & y, (F.col(t).isNotNull() for t in s)).alias("whole"))
-    entries = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.explode(F.array(*(member(n, s) for n, s in enumerate(sets)))).alias("e")).where("e.whole")
-    entries = entries.select("_k", "e.n", "e.shared", F.to_json("e.v").alias("v"))
-    first = entries.withColumn("_n", F.dense_rank().over(Window.partitionBy("n", "v").orderBy("_k"))).where(F.col("_n") <= top + 1)
-    lists = first.groupBy("n", "v").agg(F.collect_set("_k").alias("others"))
-    rows = entries.join(lists, ["n", "v"]).select("_k", "shared", F.explode("others").alias("other")).where("_k <> other")
-    rows = rows.groupBy("_k", "other").agg(F.max("shared").alias("shared"))
+    sets = [[f"v{i}" for i in range(len(traits)) if n >> i & 1] for n in range(1, 1 << len(traits))]
+    values = [f"v{i}" for i in range(len(traits))]
+    few = lambda df, *by: df.withColumn("_n", F.dense_rank().over(Window.partitionBy(*by).orderBy("_k"))).where(F.col("_n") <= top + 1)
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), *(F.col(t).cast("string").alias(v) for t, v in zip(traits, values, strict=True)))
+    rows = rows.withColumn("_class", F.to_json(F.struct(*values)))
+    classes = few(rows, "_class").groupBy("_class", *values).agg(F.collect_set("_k").alias("_keys"))
+    member = lambda n, s: F.struct(F.lit(n).alias("n"), F.lit(len(s)).alias("shared"), F.to_json(F.struct(*s)).alias("v"), reduce(lambda x, y: x & y, (F.col(v).isNotNull() for v in s)).alias("whole"))
+    entries = settled(classes.select("_class", "_keys", F.explode(F.array(*(member(n, s) for n, s in enumerate(sets)))).alias("e")).where("e.whole").select("_class", "_keys", "e.n", "e.shared", "e.v"))
+    lists = few(entries.select("n", "v", F.explode("_keys").alias("_k")), "n", "v").groupBy("n", "v").agg(F.collect_set("_k").alias("others"))
+    # of each number of shared traits all keys that have so many; then those that have no more
+    level = lambda s: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("shared") == s, F.col("others")))))
+    near = entries.drop("_keys").join(lists, ["n", "v"]).groupBy("_class").agg(*(level(s).alias(f"_at{s}") for s in range(1, len(traits) + 1)))
+    near = near.withColumn("_seen", F.slice(f"_at{len(traits)}", 1, 0)).withColumn("_near", F.array().cast(f"array<struct<shared:int,other:{records.schema[key].dataType.simpleString()}>>"))
+    for s in range(len(traits), 0, -1):
+        shared = F.lit(s).alias("shared")
+        near = near.withColumn("_new", F.array_sort(F.array_except(f"_at{s}", "_seen"))).withColumn("_seen", F.concat("_seen", "_new"))
+        near = near.withColumn("_near", F.concat("_near", F.transform("_new", lambda k: F.struct(shared, k.alias("other")))))
+    near = near.select("_class", F.slice("_near", 1, top + 1).alias("_near"))
+    mine = F.slice(F.filter("_near", lambda x: x["other"] != F.col("_k")), 1, top)
+    out = rows.select("_k", "_class").join(near, "_class").select("_k", F.explode(mine).alias("x")).select("_k", "x.*")
+    # a key may have several records; both steps by key need one shuffle
+    out = out.repartition("_k").groupBy("_k", "other").agg(F.max("shared").alias("shared"))
     w = Window.partitionBy("_k").orderBy(F.desc("shared"), "other")
     distance = F.greatest(F.lit(1), F.lit(len(traits)) - F.col("shared") + 1)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).select(F.col("_k").alias(key), "other", "shared", distance.alias("distance"))
+    return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).select(F.col("_k").alias(key), "other", "shared", distance.alias("distance"))
 
 
 def governance(state: DataFrame, registrations: DataFrame) -> DataFrame:

@@ -350,3 +350,22 @@ def test_crystallised(spark):
     assert [(r["scope"], r["members"], r["status"]) for r in fewer] == [("a.b", 1, "inert")]
     gone = analytics.crystallised(rows.where("false"), "scope", ["trait"], "key", known=now).collect()
     assert [(r["scope"], r["members"], r["status"]) for r in gone] == [("a.b", 0, "inert")]
+
+
+def test_nearby_joins_classes_of_equal_records_once(spark, monkeypatch):
+    rows = [(i, f"t{i % 3}", f"w{i % 3}" if i % 3 else None) for i in range(600)] + [(7, "t9", "w2"), (None, "t1", "w1")]
+    made = []
+    monkeypatch.setattr(horizon, "settled", lambda df: made.append(graph.settled(df)) or made[-1])
+    got = horizon.nearby(spark.createDataFrame(rows, "id long, type string, worker string"), ["type", "worker"], "id", 4).collect()
+    entries = made[0].collect()
+    assert len(entries) == 1 + 3 + 3 + 3 and max(len(r["_keys"]) for r in entries) == 5  # a class and set each, however many records
+    want = {}
+    for a in range(600):
+        shared = {}
+        for x in [r for r in rows if r[0] == a]:
+            for y in rows:
+                n = sum(p is not None and p == q for p, q in zip(x[1:], y[1:], strict=True))
+                if y[0] not in (a, None) and n:
+                    shared[y[0]] = max(n, shared.get(y[0], 0))
+        want |= {(a, b): n for n, b in sorted((-n, b) for b, n in shared.items())[:4] for n in [-n]}
+    assert len(got) == len(want) and {(r["id"], r["other"]): r["shared"] for r in got} == want

@@ -194,6 +194,12 @@ def site_lifecycle(log: DataFrame) -> DataFrame:
     return log.groupBy("target").agg(F.min("seq").alias("first_seq"), F.min_by("op", "seq").alias("first_op"), F.min(F.when(F.col("op") != "SIG", F.col("seq"))).alias("permanent_seq"))
 
 
+def dangling(current: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """(missing, n): what integrity finds, counted by what is missing. Ends are counted before they meet the state."""
+    ends = edge_rows.select(F.explode(F.array("source", "dest")).alias("missing")).groupBy("missing").agg(F.count("*").alias("n"))
+    return ends.join(current.select(F.col("target").alias("missing")), "missing", "left_anti")
+
+
 def integrity(current: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Edges whose source or dest has no state."""
     ends = edge_rows.select("source", "dest", F.explode(F.array(F.struct(F.lit("source").alias("end"), F.col("source").alias("missing")), F.struct(F.lit("dest").alias("end"), F.col("dest").alias("missing")))).alias("e")).select("source", "dest", "e.end", "e.missing")

@@ -99,8 +99,8 @@ _LINKS = "SELECT 'app.orders.' || l_orderkey AS source, 'app.part.' || l_partkey
 
 def _links(spark, d):
     li = read(spark, d, "lineitem")
-    source = F.concat(F.lit("app.orders."), "l_orderkey").alias("source")
-    return li.select(source, F.concat(F.lit("app.part."), "l_partkey").alias("dest")).unionByName(li.select(source, F.concat(F.lit("app.supplier."), F.col("l_suppkey") * 2).alias("dest")))
+    dests = F.array(F.concat(F.lit("app.part."), "l_partkey"), F.concat(F.lit("app.supplier."), F.col("l_suppkey") * 2))
+    return li.select(F.concat(F.lit("app.orders."), "l_orderkey").alias("source"), F.explode(dests).alias("dest"))
 
 
 @book(f"SELECT regexp_replace(dest, '\\.[^.]*$', '') AS collection, count(*) AS links, count(DISTINCT dest) AS targets, regexp_replace(dest, '\\.[^.]*$', '') = 'app.part' AS hidden FROM ({_LINKS}) GROUP BY 1, 4")
@@ -118,7 +118,7 @@ _TARGETS = "SELECT 'app.orders.' || o_orderkey AS target FROM orders UNION ALL S
 
 @book(f"SELECT dest, count(*) AS n FROM ({_LINKS}) WHERE dest NOT IN ({_TARGETS}) GROUP BY 1")
 def dangling_links(spark, d):
-    return fold.integrity(_targets(spark, d), _links(spark, d)).groupBy(F.col("missing").alias("dest")).agg(F.count("*").alias("n"))
+    return fold.dangling(_targets(spark, d), _links(spark, d)).select(F.col("missing").alias("dest"), "n")
 
 
 @book(f"SELECT count(*) AS links, count(DISTINCT source) AS sources FROM ({_LINKS}) WHERE starts_with(dest, 'app.supplier.')")

@@ -369,3 +369,10 @@ def test_nearby_joins_classes_of_equal_records_once(spark, monkeypatch):
                     shared[y[0]] = max(n, shared.get(y[0], 0))
         want |= {(a, b): n for n, b in sorted((-n, b) for b, n in shared.items())[:4] for n in [-n]}
     assert len(got) == len(want) and {(r["id"], r["other"]): r["shared"] for r in got} == want
+
+
+def test_dangling_counts_ends(spark):
+    state = spark.createDataFrame([("a",), ("b",)], "target string")
+    links = spark.createDataFrame([("a", "b"), ("a", "x"), ("b", "x"), ("y", "x"), ("y", "y"), ("a", None)], "source string, dest string")
+    assert {(r["missing"], r["n"]) for r in fold.dangling(state, links).collect()} == {("x", 3), ("y", 3), (None, 1)}
+    assert fold.integrity(state, links).count() == 7

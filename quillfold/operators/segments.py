@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARAGRAPH, SENTENCE, CLAUSE, LONGEST = 20, 8, 12, 600
+#: Texts that a worker reads at a time, spans that it hands over at a time.
+TEXTS, SPANS = 64, 2048
 
 _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)")
 _CLAUSE = re.compile(r"[^,;:.!?\n]+[,;:.!?]*")
@@ -26,8 +30,7 @@ def script(text: Column) -> Column:
     return F.when(head.rlike(r"[぀-ヿ一-鿿가-힯]"), "cjk").when(head.rlike(r"[؀-ۿ]"), "arabic").when(head.rlike(r"[ऀ-ॿ]"), "devanagari").when(head.rlike(r"[Ѐ-ӿ]"), "cyrillic").otherwise("latin")
 
 
-def _spans(text: str, pattern: re.Pattern, least: int) -> list[tuple[int, int]]:
-    out = []
+def _spans(text: str, pattern: re.Pattern, least: int) -> Iterator[tuple[int, int]]:
     for m in pattern.finditer(text):
         piece = m[0]
         a = m.start() + len(piece) - len(piece.lstrip())
@@ -35,11 +38,10 @@ def _spans(text: str, pattern: re.Pattern, least: int) -> list[tuple[int, int]]:
         while b - a > LONGEST:  # too long: cut at the last space that fits
             cut = text.rfind(" ", a + 1, a + LONGEST)
             cut = cut if cut > a else a + LONGEST
-            out.append((a, cut))
+            yield a, cut
             a = cut + (text[cut : cut + 1] == " ")
         if b - a >= least:
-            out.append((a, b))
-    return out
+            yield a, b
 
 
 def spans(docs: DataFrame, tier: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,11 +49,12 @@ def spans(docs: DataFrame, tier: str, id_col: str = "doc_id", text_col: str = "t
     pattern, least = (_SENTENCE, SENTENCE) if tier == "sentence" else (_CLAUSE, CLAUSE)
 
     def cut(batches):
-        for pdf in batches:
-            rows = [(i, n, a, b, t[a:b]) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for n, (a, b) in enumerate(_spans(t, pattern, least))]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "start", "end", "text"])
+        for few in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+            rows = ((i, n, a, b, t[a:b]) for i, t in zip(*(c.to_pylist() for c in few.columns), strict=True) if t for n, (a, b) in enumerate(_spans(t, pattern, least)))
+            while some := list(islice(rows, SPANS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n", "start", "end", "text"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id long, n int, start long, end long, text string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, "doc_id long, n int, start long, end long, text string")
 
 
 def parents(inner: DataFrame, outer: DataFrame) -> DataFrame:

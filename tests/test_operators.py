@@ -371,6 +371,17 @@ def test_nearby_joins_classes_of_equal_records_once(spark, monkeypatch):
     assert len(got) == len(want) and {(r["id"], r["other"]): r["shared"] for r in got} == want
 
 
+def test_spans_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(segments, "SPANS", 3)
+    monkeypatch.setattr(segments, "TEXTS", 2)
+    docs = spark.createDataFrame([(i, f"A sentence of number {i}. " * (5 * i) if i % 4 else None) for i in range(12)], "doc_id long, text string").coalesce(1)
+    got = segments.spans(docs, "sentence")
+    assert {(r["doc_id"], r["n"]) for r in got.collect()} == {(i, n) for i in range(12) if i % 4 for n in range(5 * i)}
+    sizes = got.mapInArrow(lambda bs: (b.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert sum(r["n"] for r in sizes) == got.count()
+    assert next(segments._spans("One sentence here. Another one.", segments._SENTENCE, 8)) == (0, 18)  # made one at a time
+
+
 def test_dangling_counts_ends(spark):
     state = spark.createDataFrame([("a",), ("b",)], "target string")
     links = spark.createDataFrame([("a", "b"), ("a", "x"), ("b", "x"), ("y", "x"), ("y", "y"), ("a", None)], "source string, dest string")

@@ -371,6 +371,14 @@ def test_nearby_joins_classes_of_equal_records_once(spark, monkeypatch):
     assert len(got) == len(want) and {(r["id"], r["other"]): r["shared"] for r in got} == want
 
 
+def test_minhash_functions_differ(spark):
+    names = spark.createDataFrame([(1, "red widget small"), (2, "red widget smell"), (3, "green sprocket")], "id long, name string")
+    mins = {r["id"]: r["m"] for r in names.select("id", dedup.minhash(F.col("name")).alias("m")).collect()}
+    assert all(len(set(m)) == 64 for m in mins.values())
+    agree = lambda a, b: sum(x == y for x, y in zip(mins[a], mins[b], strict=True)) / 64
+    assert 0.4 < agree(1, 2) < 0.95 and agree(1, 3) < 0.2
+
+
 def test_spans_come_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(segments, "SPANS", 3)
     monkeypatch.setattr(segments, "TEXTS", 2)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.operators.graph import settled
+from quillfold.operators.pairs import within
 
 #: Fixed shapes of ids: letters-digits, UUID, digits only, prefix_suffix.
 ID_PATTERNS = {"prefixed": r"^[A-Za-z]+-\d+$", "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "number": r"^\d+$", "record": r"^[A-Za-z]+_?[A-Za-z0-9]{6,}$"}
@@ -73,9 +74,8 @@ def keyed_events(long: DataFrame, prefix: str = "import", least: float = 0.5) ->
 
 def co_occurrence(items: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
     """Unordered pairs of items that groups hold together, with the number of groups. items: a row for each member."""
-    one = items.select(F.col(group).alias("_g"), F.col(item).alias("_i")).where("_i is not null").distinct()
-    pairs = one.alias("x").join(one.alias("y"), (F.col("x._g") == F.col("y._g")) & (F.col("x._i") < F.col("y._i")))
-    return pairs.groupBy(F.col("x._i").alias("a"), F.col("y._i").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    one = settled(items.select(F.col(group).alias("_g"), F.col(item).alias("_i")).dropna().distinct())  # read twice
+    return within(one, ["_g"], "_i").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def normal_ids(value: Column, delimiter: str = ",") -> Column:

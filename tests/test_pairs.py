@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from quillfold.operators import dedup, pairs
+from quillfold.operators import dedup, edges, pairs
 from quillfold.plans import record_queries
 
 
@@ -50,3 +50,17 @@ def test_nearby_traits_tasks(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     sizes = record_queries.nearby_traits(spark, str(tmp_path)).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert sum(sizes) == 20 * 50 * 49 // 2 and max(sizes) < 0.4 * sum(sizes)
+
+
+@pytest.mark.parametrize("chunk", [1024, 16])
+def test_co_occurrence_large_group(spark, monkeypatch, chunk):
+    """Groups of 120 items and of 2 to 5, items twice in a group, nulls; small groups make their pairs without a join."""
+    monkeypatch.setattr(pairs, "CHUNK", chunk)
+    monkeypatch.setattr(pairs, "PAIRS", 1_000)
+    groups = {0: set(range(120))} | {g: set(range(g, g + 2 + g % 4)) for g in range(1, 60)}
+    rows = [(g, i) for g, items in groups.items() for i in items] * 2 + [(None, 1), (None, 2), (3, None)]
+    out = edges.co_occurrence(spark.createDataFrame(rows, "g long, i long"), "g", "i", 2)
+    want = Counter(p for items in groups.values() for p in combinations(sorted(items), 2))
+    assert {(r["a"], r["b"]): r["n"] for r in out.collect()} == {p: n for p, n in want.items() if n >= 2}
+    if chunk == 1024:
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

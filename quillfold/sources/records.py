@@ -33,12 +33,12 @@ def collection(df: DataFrame, name: str, key: str, root: str = "app") -> DataFra
 
 def long_form(df: DataFrame, name: str, key: str) -> DataFrame:
     """(collection, record, field, value), a row for each value, the key's included; arrays have a row for each member."""
-
-    def part(f: T.StructField) -> Column:
-        value = F.transform(F.col(f.name), lambda x: x.cast("string")) if isinstance(f.dataType, T.ArrayType) else F.array(F.col(f.name).cast("string"))
-        return F.transform(value, lambda v: F.struct(F.lit(f.name).alias("field"), v.alias("value")))
-
-    rows = df.select(F.lit(name).alias("collection"), F.col(key).cast("string").alias("record"), F.explode(F.flatten(F.array(*map(part, df.schema)))).alias("x"))
+    entry = lambda f, v: F.struct(F.lit(f.name).alias("field"), v.cast("string").alias("value"))
+    scalars = F.array(*(entry(f, F.col(f.name)) for f in df.schema if not isinstance(f.dataType, T.ArrayType)))
+    # lambdas are slow, so only array fields have one
+    members = lambda f: F.transform(F.col(f.name), lambda x: entry(f, x))
+    lists = [F.coalesce(members(f), F.slice(scalars, 1, 0)) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    rows = df.select(F.lit(name).alias("collection"), F.col(key).cast("string").alias("record"), F.explode(F.concat(scalars, *lists) if lists else scalars).alias("x"))
     return rows.select("collection", "record", "x.field", "x.value").where("value is not null")
 
 

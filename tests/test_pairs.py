@@ -7,6 +7,7 @@ import pytest
 
 from quillfold.operators import dedup, edges, pairs
 from quillfold.plans import record_queries
+from quillfold.sources import records as sources
 
 
 def _plain(rows):
@@ -64,3 +65,17 @@ def test_co_occurrence_large_group(spark, monkeypatch, chunk):
     assert {(r["a"], r["b"]): r["n"] for r in out.collect()} == {p: n for p, n in want.items() if n >= 2}
     if chunk == 1024:
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keyed_events_renamed(spark):
+    """Records called otherwise than their ids, and a list that is null: its record keeps its other fields."""
+    cases = spark.createDataFrame([("r1", "C-1", ["P-1", "P-2"], "x"), ("r2", "C-2", None, "x"), ("r3", "C-3", ["P-2", "P-9"], None)], "row string, id string, team array<string>, kind string")
+    people = spark.createDataFrame([("P-1", "a"), ("P-2", "a")], "id string, name string")
+    long = sources.long_form(cases, "cases", "row").where("field <> 'row'").unionByName(sources.long_form(people, "people", "id"))
+    got = Counter(tuple(r) for r in edges.keyed_events(long).select("op", "target", "field", "value").collect())
+    fields = [("cases.C-1", "id", "C-1"), ("cases.C-1", "team", "P-1"), ("cases.C-1", "team", "P-2"), ("cases.C-1", "kind", "x"), ("cases.C-2", "id", "C-2"), ("cases.C-2", "kind", "x"), ("cases.C-3", "id", "C-3"), ("cases.C-3", "team", "P-2"), ("cases.C-3", "team", "P-9")]
+    fields += [(f"people.{i}", f, v) for i in ("P-1", "P-2") for f, v in (("id", i), ("name", "a"))]
+    want = Counter(("INS", f"import.{t}", f, v) for t, f, v in fields)
+    want += Counter(("DEF", f"import.{t}", f, v) for t, f, v in fields if f in ("kind", "name"))
+    want += Counter(("CON", f"import.{t}", f, f"import.people.{v}") for t, f, v in fields if f == "team" and v != "P-9")
+    assert got == want + Counter([("DEF", "import.cases._schema.team.type", "link", "import.people")])

@@ -6,7 +6,7 @@ merges: (a, b, into, seq); edges: (source, dest).
 
 from __future__ import annotations
 
-from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,12 @@ from quillfold.operators.fold import aliases, resolve
 
 VALUE = "map<string,string>"
 
+#: Notes that a task of `violations` takes on average, up to PARTS tasks.
+NOTES, PARTS = 1 << 20, 20_000
+
+#: What `violations` notes of a target, a bit each.
+THERE, MADE, SOURCE, DEST, ONE_WAY, ONE_WAY_BACK, NEEDS = (1 << i for i in range(7))
+
 
 def _one(key: str, value: Column) -> Column:
     return F.create_map(F.lit(key), value)
@@ -102,29 +108,52 @@ def retried(failed: DataFrame, log: DataFrame) -> DataFrame:
     return failed.where("error = 'no such target'").drop("error").join(made, "target", "left_semi").select(*[c for c in failed.columns if c != "error"])
 
 
+def _dealt(rows: DataFrame, notes: int, *by: str) -> DataFrame:
+    """rows, each of so many notes, in tasks of NOTES on average, however they are stored. They are read twice: first
+    they are counted."""
+    return rows.repartition(min(PARTS, max(1, ceil(rows.count() * notes / NOTES))), *by)
+
+
 def violations(log: DataFrame, state: DataFrame, edges: DataFrame, back: DataFrame, needs: DataFrame | None = None) -> DataFrame:
     """(target, type): what must hold and doesn't, each once.
 
     missing_ins: a state without INS; asymmetric_con, asymmetric_con_rev: an edge without its entry in the other
     direction (back: (source, dest) as its own table has it); orphan_con_source, orphan_con_dest: ends without state;
     stale_def: a state whose last event isn't the log's last DEF (state: last_op, last_seq); missing_eva_dep: needs
-    (target, dep) of a dep without state.
+    (target, dep) of a dep without state. A null equals nothing.
+
+    Edges meet their entries in one aggregate, and all that is noted of a target in another. Rows are dealt out by their
+    number first, edges by both ends and events by target and seq, and a task combines what it has of a target: one that
+    is written or linked very often is no hot task, and no task holds more for larger tables.
     """
-    there = state.select("target")
-    named = lambda df, column, kind: df.select(F.col(column).alias("target"), F.lit(kind).alias("type"))
-    ends = ["source", "dest"]
-    last = log.where("op = 'DEF'").groupBy("target").agg(F.max("seq").alias("_seq"))
-    found = [
-        named(there.join(log.where("op = 'INS'").select("target"), "target", "left_anti"), "target", "missing_ins"),
-        named(edges.join(back.select(*ends), ends, "left_anti"), "source", "asymmetric_con"),
-        named(back.join(edges.select(*ends), ends, "left_anti"), "dest", "asymmetric_con_rev"),
-        named(edges.join(there, edges["source"] == there["target"], "left_anti"), "source", "orphan_con_source"),
-        named(edges.join(there, edges["dest"] == there["target"], "left_anti"), "dest", "orphan_con_dest"),
-        named(state.join(last, "target").where("last_op = 'DEF' and last_seq <> _seq"), "target", "stale_def"),
-    ]
+    ends, none = ["source", "dest"], F.lit(None)
+    note = lambda target, bits, last=none, seq=none: F.struct(F.col(target).alias("target"), bits.alias("_bits"), last.alias("_last"), seq.alias("_seq"))
+    flag = lambda condition, bit: F.when(condition, bit).otherwise(0)
+    sides = edges.select(*ends, F.lit(1).alias("_in")).unionByName(back.select(*ends, F.lit(2).alias("_in")))
+    sides = _dealt(sides, 2, *ends).groupBy(*ends).agg(F.bit_or("_in").alias("_in"))
+    forth, both = F.col("_in") != 2, (F.col("_in") == 3) & F.col("source").isNotNull() & F.col("dest").isNotNull()
+    source = note("source", flag(forth, SOURCE) + flag(forth & ~both, ONE_WAY))
+    dest = note("dest", flag(forth, DEST) + flag((F.col("_in") != 1) & ~both, ONE_WAY_BACK))
+    of_ends = sides.select(F.explode(F.array(source, dest)).alias("n")).where("n._bits > 0")
+    of_state = state.select(note("target", F.lit(THERE), F.when(F.col("last_op") == "DEF", F.col("last_seq"))).alias("n"))
+    of_log = log.where("op in ('INS', 'DEF')").select(note("target", flag(F.col("op") == "INS", MADE), none, F.when(F.col("op") == "DEF", F.col("seq"))).alias("n"))
+    rows = _dealt(of_state.select("n.*").unionByName(of_log.select("n.*")), 1, "target", "_seq").unionByName(of_ends.select("n.*"))
     if needs is not None:
-        found.append(named(needs.join(there.select(F.col("target").alias("dep")), "dep", "left_anti"), "target", "missing_eva_dep"))
-    return reduce(lambda x, y: x.unionByName(y), found).distinct()
+        lacking = needs.join(state.select(F.col("target").alias("dep")), "dep", "left_anti")
+        rows = rows.unionByName(lacking.select(note("target", F.lit(NEEDS)).alias("n")).select("n.*"))
+    noted = rows.groupBy("target").agg(F.bit_or("_bits").alias("_bits"), F.min("_last").alias("_least"), F.max("_last").alias("_most"), F.max("_seq").alias("_seq"))
+    has = lambda bit: F.col("_bits").bitwiseAND(F.lit(bit)) != 0
+    named = F.col("target").isNotNull()
+    kinds = {
+        "missing_ins": has(THERE) & ~(has(MADE) & named),
+        "asymmetric_con": has(ONE_WAY),
+        "asymmetric_con_rev": has(ONE_WAY_BACK),
+        "orphan_con_source": has(SOURCE) & ~(has(THERE) & named),
+        "orphan_con_dest": has(DEST) & ~(has(THERE) & named),
+        "stale_def": named & ((F.col("_least") != F.col("_seq")) | (F.col("_most") != F.col("_seq"))),
+        "missing_eva_dep": has(NEEDS),
+    }
+    return noted.select("target", F.explode(F.array_compact(F.array(*(F.when(found, kind) for kind, found in kinds.items())))).alias("type"))
 
 
 def settled_means(cycling: DataFrame) -> DataFrame:

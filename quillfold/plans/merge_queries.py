@@ -111,7 +111,7 @@ def recurring_groups(spark, d):
 def invariant_violations(spark, d):
     name = lambda prefix, c: F.concat(F.lit(prefix), c)
     li = read(spark, d, "lineitem").where("l_linenumber = 1")
-    links = li.select(name("o", "l_orderkey").alias("source"), name("p", F.col("l_partkey") + F.when(F.col("l_partkey") % 40 == 0, 1_000_000).otherwise(0)).alias("dest"), "l_orderkey").distinct()
+    links = li.select(name("o", "l_orderkey").alias("source"), name("p", F.col("l_partkey") + F.when(F.col("l_partkey") % 40 == 0, 1_000_000).otherwise(0)).alias("dest"), "l_orderkey")
     k = F.col("o_orderkey")
     o = read(spark, d, "orders")
     log = o.where(k % 11 != 0).select(F.lit(1).cast("long").alias("seq"), F.lit("INS").alias("op"), name("o", k).alias("target")).unionByName(o.select((k + 10).alias("seq"), F.lit("DEF").alias("op"), name("o", k).alias("target")))

@@ -144,3 +144,54 @@ def test_walks_keep_the_least_distance(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(0, 4), (4, 0), (4, 4)], "source int, dest int")
     got = {r["node"]: r["distance"] for r in graph.traverse(edges, spark.createDataFrame([(0,)], "node int"), 8, settle_every=2).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 1, 5: 2, 6: 3, 7: 4, 8: 5, 9: 6}
+
+
+def _plain_violations(log, state, edges, back, needs):
+    equal = lambda a, b: a is not None and a == b
+    there = {t for t, _, _ in state}
+    defs = {t: max(s for s, o, u in log if o == "DEF" and u == t) for _, op, t in log if op == "DEF" and t is not None}
+    made = {t for _, op, t in log if op == "INS"}
+    out = {(t, "missing_ins") for t, _, _ in state if t is None or t not in made}
+    for kind, end, one_way, other in (("asymmetric_con", 0, edges, back), ("asymmetric_con_rev", 1, back, edges)):
+        out |= {(e[end], kind) for e in one_way if not any(equal(e[0], x[0]) and equal(e[1], x[1]) for x in other)}
+    for kind, end in (("orphan_con_source", 0), ("orphan_con_dest", 1)):
+        out |= {(e[end], kind) for e in edges if e[end] is None or e[end] not in there}
+    out |= {(t, "stale_def") for t, op, seq in state if op == "DEF" and t in defs and seq is not None and seq != defs[t]}
+    return out | {(t, "missing_eva_dep") for t, dep in needs if dep is None or dep not in there}
+
+
+def _violations(spark, log, state, edges, back, needs=None):
+    ends = "source string, dest string"
+    frames = [spark.createDataFrame(r, s) for r, s in ((log, "seq long, op string, target string"), (state, "target string, last_op string, last_seq int"), (edges, ends), (back, ends))]
+    return merging.violations(*frames, *([] if needs is None else [spark.createDataFrame(needs, "target string, dep string")]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_violations_like_plain_python(spark, monkeypatch, seed):
+    """Nulls, repeated rows, edges to themselves, states twice; in several tasks."""
+    monkeypatch.setattr(merging, "NOTES", 7)
+    rng = random.Random(seed)
+    name = lambda: rng.choice([None, *"abcdefgh"])
+    link = lambda n: [(name(), name()) for _ in range(n)]
+    log = [(rng.randrange(9), rng.choice([None, "INS", "DEF", "DEF", "SEG"]), name()) for _ in range(14)]
+    state = [(name(), rng.choice([None, "INS", "DEF", "DEF"]), rng.choice([None, *range(9)])) for _ in range(8)]
+    edges, needs = link(12), link(6)
+    back = edges[:6] + link(5)
+    got = [tuple(r) for r in _violations(spark, log, state, edges, back, needs).collect()]
+    assert len(got) == len(set(got)) and set(got) == _plain_violations(log, state, edges, back, needs)
+    assert not _violations(spark, [], [], [], []).collect()
+
+
+def test_violations_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Inputs are dealt out by their number and join nothing, also where one target has all events and edges."""
+    dealt, deal = [], merging._dealt
+    monkeypatch.setattr(merging, "NOTES", 200)
+    monkeypatch.setattr(merging, "_dealt", lambda rows, *how: dealt.append(deal(rows, *how)) or dealt[-1])
+    edges = [(f"s{i}", "hub") for i in range(1_000)]
+    out = _violations(spark, [(i, "DEF", "hub") for i in range(1_000)], [("hub", "DEF", 5)], edges, edges[1:])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(r) for r in out.collect()}
+    assert got == {("hub", "missing_ins"), ("hub", "stale_def"), ("s0", "asymmetric_con"), *((s, "orphan_con_source") for s, _ in edges)}
+    for rows, mean in zip(dealt, (100, 200), strict=True):
+        sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert sum(sizes) > 1_000 and max(sizes) < 2 * mean
